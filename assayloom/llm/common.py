@@ -37,6 +37,18 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, seed: int) -> DataFrame:
+    """(doc_id, text, y, turn): texts of at most `rows` labelled ids for which `learn` holds, drawn by a seeded hash.
+
+    A doc_id with several labels takes the largest; null labels and null ids teach nothing. The ids
+    are drawn from the label table alone; they are at most `rows`, so their broadcast is bounded.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(learn, F.lit(False)))
+    known = known.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
+    drawn = known.withColumn("turn", F.xxhash64(F.lit(seed), "doc_id")).orderBy("turn", "doc_id").limit(rows)
+    return documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
@@ -62,15 +74,15 @@ def string_hashes(strings: pa.Array) -> np.ndarray:
 
 
 class Words:
-    """Words of a column of texts: white space `[\\x20\\x09-\\x0D]` parts them, A-Z become a-z.
+    """Words of a column of texts: white space `[\\x20\\x09-\\x0D]` parts them, A-Z become a-z (or not).
 
     starts[i]:starts[i + 1] are the words of text i; ids point into vocabulary.
     Null and empty texts have no words.
     """
 
-    def __init__(self, texts: pa.Array):
-        texts = texts.cast(pa.large_string()).fill_null("")
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    def __init__(self, texts: pa.Array, lower: bool = True):
+        texts = texts.cast(pa.string()).fill_null("")
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.values[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]

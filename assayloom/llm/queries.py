@@ -3,15 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_mod, table
 from .neardup_embeddings import near_duplicate_vectors
+from .quality import fit_quality, score_quality
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup,)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(documents, labels, crc_mod("doc_id", 3) != 1)
+    return _judged(score_toxicity(documents, model), crc_mod("doc_id", 3) == 1)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = fit_quality(documents, labels, crc_mod("doc_id", 4) != 2)
+    return _judged(score_quality(documents, model), crc_mod("doc_id", 4) == 2)
+
+
+def _judged(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op9_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
