@@ -9,6 +9,15 @@ from .common import crc_mod, table
 from .neardup_embeddings import near_duplicate_vectors
 from .quality import fit_quality, score_quality
 from .toxicity import fit_toxicity, score_toxicity
+from .url_rules import UrlRule, judge_urls
+
+URL_RULES = [
+    UrlRule("org", "/", "allow"),
+    UrlRule("example.org", "/es/", "block"),
+    UrlRule("example.org", "/en/1", "block"),
+    UrlRule("com", "/fr/", "allow"),
+    UrlRule("com", "/de/", "block"),
+]
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(score_toxicity(documents, model), crc_mod("doc_id", 3) == 1)
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = fit_quality(documents, labels, crc_mod("doc_id", 4) != 2)
@@ -31,6 +44,6 @@ def _judged(scored: DataFrame, held_out) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_url_rules, op9_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
