@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, table
 from .neardup_embeddings import near_duplicate_vectors
+from .ngram_join import jaccard_components
 from .quality import fit_quality, score_quality
 from .toxicity import fit_toxicity, score_toxicity
 from .url_rules import UrlRule, judge_urls
@@ -34,6 +35,10 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words_each=3, percent=90)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = fit_quality(documents, labels, crc_mod("doc_id", 4) != 2)
@@ -44,6 +49,6 @@ def _judged(scored: DataFrame, held_out) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_url_rules, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_url_rules, op7_ngram_jaccard, op9_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
