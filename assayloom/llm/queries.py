@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from .common import crc_mod, table
 from .neardup_embeddings import near_duplicate_vectors
 from .ngram_join import jaccard_components
 from .quality import fit_quality, score_quality
+from .token_store import token_digests
 from .toxicity import fit_toxicity, score_toxicity
 from .url_rules import UrlRule, judge_urls
 
@@ -35,6 +37,11 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return got.withColumnRenamed("id", "doc_id")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words_each=3, percent=90)
 
@@ -49,6 +56,6 @@ def _judged(scored: DataFrame, held_out) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_url_rules, op7_ngram_jaccard, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_url_rules, op6_token_store, op7_ngram_jaccard, op9_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
