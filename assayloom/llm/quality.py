@@ -19,7 +19,7 @@ class NbSvmParameters:
     """bits: log2 of the feature space. rows: most labelled rows that are learnt from."""
 
     bits: int = 20
-    rows: int = 20000
+    rows: int = 8000
     smoothing: float = 1.0
     cost: float = 1.0
     epochs: int = 15
@@ -125,7 +125,7 @@ def _train(part, p: NbSvmParameters):
         for k in own:
             counts[int(y[k] > 0)][sets[k]] += 1
             seen[sets[k]] = True
-        ratio = np.where(seen, np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum()), 0.0)
+        ratio = np.where(seen, np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum()), 0.0).astype(np.float32)
         w, bias = _descend([sets[k] for k in own], y[own], ratio, size, p)
         rest = np.flatnonzero(held) if held.any() else own
         slope, offset = _platt(_margins([sets[k] for k in rest], w, ratio, bias), y[rest])
@@ -160,7 +160,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, learn: Column, label: s
 
     def features(part):
         for batch in part:
-            for at, size in batches(batch["text"]):
+            for at, size in batches(batch["text"], 4 << 20):
                 piece = batch.slice(at, size)
                 yield pa.RecordBatch.from_pydict({"turn": piece["turn"], "doc_id": piece["doc_id"], "y": piece["y"], "features": pa.array(feature_sets(piece["text"], p.bits), pa.list_(pa.int32()))})
 
@@ -183,7 +183,7 @@ def score_quality(documents: DataFrame, model: QualityModel, score_col: str = "s
         w, ratio = np.zeros(1 << m.bits, np.float32), np.zeros(1 << m.bits, np.float32)
         w[m.features], ratio[m.features] = m.weights, m.ratios
         for batch in part:
-            for at, size in batches(batch["text"]):
+            for at, size in batches(batch["text"], 4 << 20):
                 piece = batch.slice(at, size)
                 margin = _margins(feature_sets(piece["text"], m.bits), w, ratio, m.bias).astype(np.float64)
                 result = 1 / (1 + np.exp(-np.clip(margin * m.slope + m.offset, -35, 35)))
