@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
+from .katz import katz_scores
 from .neardup_embeddings import near_duplicate_vectors
 from .ngram_join import jaccard_components
 from .quality import fit_quality, score_quality
@@ -52,10 +53,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(score_quality(documents, model), crc_mod("doc_id", 4) == 2)
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = crc_mod("doc_id", 10)
+    return katz_scores(table(spark, sf_dir, "documents"), turn != 0, order=2).withColumn("held_out", F.coalesce(turn == 0, F.lit(False)))
+
+
 def _judged(scored: DataFrame, held_out) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_url_rules, op6_token_store, op7_ngram_jaccard, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_url_rules, op6_token_store, op7_ngram_jaccard, op9_quality, op10_katz)}
 
 ORACLE_SQL: dict[str, str] = {}
