@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
+from .decontaminate import contamination
 from .katz import katz_scores
+from .mixing import mix_sources
 from .neardup_embeddings import near_duplicate_vectors
 from .ngram_join import jaccard_components
 from .quality import fit_quality, score_quality
@@ -24,6 +26,15 @@ URL_RULES = [
 ]
 
 
+#: The tree of the mixture: a domain by the name of the source, then language, then source.
+MIX_LEVELS = {"domain": F.when(F.col("source").rlike("^src[0-9]$"), "web").otherwise("curated"), "lang": F.col("lang"), "source": F.col("source")}
+MIX_WEIGHTS = {
+    (domain, *lang): w
+    for domain, d in (("web", 0.6), ("curated", 0.4))
+    for lang, w in {(): d, ("en",): 0.5, ("de",): 0.2, ("fr",): 0.2, ("es",): 0.1, ("(none)",): 0.01}.items()
+}
+
+
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -38,6 +49,15 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), MIX_LEVELS, MIX_WEIGHTS, share=0.8, max_epochs=2)
+    return got.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_epoch", "mix_tokens", "mix_take")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return got.withColumnRenamed("id", "doc_id")
@@ -62,6 +82,6 @@ def _judged(scored: DataFrame, held_out) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_url_rules, op6_token_store, op7_ngram_jaccard, op9_quality, op10_katz)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_url_rules, op4_source_mixing, op5_decontamination, op6_token_store, op7_ngram_jaccard, op9_quality, op10_katz)}
 
 ORACLE_SQL: dict[str, str] = {}
