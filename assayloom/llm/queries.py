@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .neardup_embeddings import near_duplicate_vectors
 from .ngram_join import jaccard_components
 from .quality import fit_quality, score_quality
+from .token_counts import token_counts
 from .token_store import token_digests
 from .toxicity import fit_toxicity, score_toxicity
 from .url_rules import UrlRule, judge_urls
@@ -67,6 +68,11 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words_each=3, percent=90)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return token_counts(table(spark, sf_dir, "documents"), path, pattern, fields=("text",), rule="majority")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = fit_quality(documents, labels, crc_mod("doc_id", 4) != 2)
@@ -82,6 +88,6 @@ def _judged(scored: DataFrame, held_out) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_url_rules, op4_source_mixing, op5_decontamination, op6_token_store, op7_ngram_jaccard, op9_quality, op10_katz)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_url_rules, op4_source_mixing, op5_decontamination, op6_token_store, op7_ngram_jaccard, op8_token_counts, op9_quality, op10_katz)}
 
 ORACLE_SQL: dict[str, str] = {}
