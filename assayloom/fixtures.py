@@ -137,7 +137,7 @@ def reads_sql(d: Dialect, orders: str) -> str:
     heavy += f" || '{BEFORE_CDR3}{AFTER_C}' || substring(fh, 401, cast(18 + 3 * (k % 8) as {d.whole})) || '{FR4}' || jh"
     whole = f"'{PELB_ATG}GGG{QC1[: QC1.find(NOTI)]}' || noti || 'A' || {heavy} || link || vl || substring(fl, 1, cast({size_l} as {d.whole})) || vj || asci || '{QC3[len(ASCI) :]}' || tail || again || 'ACGACGGACCAGGACAACGA'"
     forward = f"select k, {whole} as seq from ({filled}) f"
-    low = "case when i < 12 or i >= length(seq) - 15 then 8 when i = 41 and k % 13 = 0 and k % 2 = 0 then 5 else 30 + (31 * k + 17 * i) % 10 end"
+    low = "case when i < case when k % 5 = 0 then 12 else 6 end or i >= length(seq) - 15 then 8 when i = 41 and k % 13 = 0 and k % 2 = 0 then 5 else 30 + (31 * k + 17 * i) % 10 end"
     with_q = f"select k, seq, {d.each('i', d.numbers('length(seq)'), f'cast({low} as {d.whole})')} as q from ({forward}) s"
     return f"""
     select k as ord, concat('VH', cast(k % 6 + 1 as {d.text}), '-VK_', cast(k as {d.text})) as id,
@@ -149,7 +149,7 @@ def reads_sql(d: Dialect, orders: str) -> str:
 
 
 def fx_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(reads_sql(SPARK, "{orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
+    return spark.sql(reads_sql(SPARK, "{orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").repartition("o_orderkey"))
 
 
 def primers_sql(groups: tuple[str, ...] = ()) -> str:

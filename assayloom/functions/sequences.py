@@ -6,6 +6,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,17 +87,34 @@ def is_reversed(seq: Column) -> Column:
     return score(back) > score(seq)
 
 
+def _pieces(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values of a list column and the bounds of each row."""
+    return lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+
+
 def trim_window(seq: Column, qual: Column, least: float, win: int) -> Column:
-    """struct(lo, hi): from the first to the last window of `win` bases whose mean quality reaches least."""
-    n = F.length(seq)
-    ok = F.coalesce((F.size(qual) == n) & (F.size(qual) >= win) & (F.size(qual) > 0), F.lit(False))
-    # running sums once, then a difference for each window
-    sums = F.aggregate(qual, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
-    good = lambda s: F.filter(places(F.lit(0), F.size(s) - win), lambda i: F.get(s, i + win) - F.get(s, i) >= least * win)
-    found = F.get(F.transform(F.array(sums), good), 0)
-    hit = F.get(F.transform(F.array(found), lambda g: F.struct(F.array_min(g).alias("lo"), (F.array_max(g) + win).alias("hi"))), 0)
-    whole = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
-    return F.when(ok, F.get(F.transform(F.array(hit), lambda h: F.when(h["hi"] > h["lo"], h).otherwise(whole)), 0)).otherwise(whole)
+    """struct(lo, hi): from the first to the last window of `win` bases whose mean quality reaches least.
+
+    The whole read where qualities are missing, of another number than bases, or nowhere good enough.
+    """
+
+    @F.arrow_udf("lo int, hi int")
+    def trim(size: pa.Array, quals: pa.Array) -> pa.Array:
+        n = size.fill_null(0).to_numpy()
+        lo, hi = np.zeros(len(n), np.int32), n.astype(np.int32)
+        values, ends = _pieces(quals)
+        given = quals.is_valid().to_numpy(zero_copy_only=False)
+        for r in np.flatnonzero(given):
+            q = values[ends[r] : ends[r + 1]]
+            if len(q) != n[r] or len(q) < win:
+                continue
+            sums = np.concatenate([[0], np.cumsum(q, dtype=np.int64)])
+            good = np.flatnonzero(sums[win:] - sums[:-win] >= least * win)
+            if len(good):
+                lo[r], hi[r] = good[0], good[-1] + win
+        return pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"])
+
+    return trim(F.length(seq), qual)
 
 
 HIT = "struct<pos:int,mm:int,q:array<int>>"
@@ -107,22 +125,37 @@ def find_motif(seq: Column, qual: Column, motif: str, start: Column, most: int,
 
     Such a hit has at most `most` mismatches, each with a quality below miscall_q (a missing quality
     counts as 0); fewer mismatches win, then the leftmost. q has the qualities of the mismatches.
+    Only reads without an exact hit are searched base by base, in Arrow batches.
     """
-    start = F.greatest(start, F.lit(0))
+    pattern = np.frombuffer(motif.encode(), np.uint8)
     m = len(motif)
-    letters = F.array(*map(F.lit, motif))
-    quality = lambda j: F.coalesce(F.get(qual, j), F.lit(0))
-    off = lambda i: F.filter(places(F.lit(0), F.lit(m)), lambda k: F.substring(seq, i + k + 1, F.lit(1)) != F.get(letters, k))
-    at = lambda i: F.struct(F.size(off(i)).alias("mm"), i.alias("pos"))
-    near = F.filter(F.transform(places(start, F.length(seq) - m + 1), at), lambda x: x["mm"] <= most)
-    with_q = F.transform(near, lambda x: F.struct(x["mm"].alias("mm"), x["pos"].alias("pos"), F.transform(off(x["pos"]), lambda k: quality(x["pos"] + k)).alias("q")))
-    best = F.array_min(F.filter(with_q, lambda x: F.forall(x["q"], lambda v: v < miscall_q)))
-    none = F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("mm"), F.array().cast("array<int>").alias("q"))
-    nearest = F.get(F.transform(F.array(best), lambda b: F.when(b.isNull(), none).otherwise(F.struct(b["pos"].alias("pos"), b["mm"].alias("mm"), b["q"].alias("q")))), 0)
-    exact = find(seq, motif, start)
-    if not exact_first:
-        return nearest.cast(HIT)
-    return F.when(exact >= 0, F.struct(exact.alias("pos"), F.lit(0).alias("mm"), F.array().cast("array<int>").alias("q"))).otherwise(nearest).cast(HIT)
+
+    @F.arrow_udf("pos int, mm int, q array<int>")
+    def near(seqs: pa.Array, quals: pa.Array, starts: pa.Array) -> pa.Array:
+        values, ends = _pieces(quals)
+        out = []
+        for r, (text, first) in enumerate(zip(seqs.to_pylist(), starts.to_pylist(), strict=True)):
+            out.append(None if text is None else {"pos": -1, "mm": 0, "q": []})
+            bases = np.frombuffer((text or "").encode("latin1", "replace"), np.uint8)[first:]
+            if len(bases) < m:
+                continue
+            wrong = np.lib.stride_tricks.sliding_window_view(bases, m) != pattern
+            count = wrong.sum(1)
+            mine = values[ends[r] : ends[r + 1]]
+            near = np.flatnonzero(count <= most)
+            for at in near[np.argsort(count[near], kind="stable")]:
+                places = first + at + np.flatnonzero(wrong[at])
+                q = [int(mine[k]) if k < len(mine) else 0 for k in places]
+                if all(x < miscall_q for x in q):
+                    out[-1] = {"pos": int(first + at), "mm": len(q), "q": q}
+                    break
+        return pa.array(out, pa.struct([("pos", pa.int32()), ("mm", pa.int32()), ("q", pa.list_(pa.int32()))]))
+
+    start = F.greatest(start, F.lit(0))
+    exact = find(seq, motif, start) if exact_first else F.lit(-1)
+    searched = exact < 0
+    found = near(F.when(searched, seq), F.when(searched, F.coalesce(qual, F.array().cast("array<int>"))), start.cast("int"))
+    return F.when(searched, found).otherwise(F.struct(exact.alias("pos"), F.lit(0).alias("mm"), F.array().cast("array<int>").alias("q"))).cast(HIT)
 
 
 def find_tandem(seq: Column, shortest: int) -> Column:
