@@ -114,7 +114,8 @@ def trim_window(seq: Column, qual: Column, least: float, win: int) -> Column:
                 lo[r], hi[r] = good[0], good[-1] + win
         return pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"])
 
-    return trim(F.length(seq), qual)
+    # not deterministic for the optimiser: it then runs once and is not copied into what is built on it
+    return trim.asNondeterministic()(F.length(seq), qual)
 
 
 HIT = "struct<pos:int,mm:int,q:array<int>>"
@@ -154,7 +155,7 @@ def find_motif(seq: Column, qual: Column, motif: str, start: Column, most: int,
     start = F.greatest(start, F.lit(0))
     exact = find(seq, motif, start) if exact_first else F.lit(-1)
     searched = exact < 0
-    found = near(F.when(searched, seq), F.when(searched, F.coalesce(qual, F.array().cast("array<int>"))), start.cast("int"))
+    found = near.asNondeterministic()(F.when(searched, seq), F.when(searched, F.coalesce(qual, F.array().cast("array<int>"))), start.cast("int"))
     return F.when(searched, found).otherwise(F.struct(exact.alias("pos"), F.lit(0).alias("mm"), F.array().cast("array<int>").alias("q"))).cast(HIT)
 
 
@@ -278,4 +279,4 @@ def near_landmarks(name: str, max_sub: int):
                 out.iloc[r] = [int(sub), int(gap), int(low + start), True]
         return out
 
-    return near
+    return near.asNondeterministic()

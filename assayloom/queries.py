@@ -35,7 +35,7 @@ def _calls(spark: SparkSession, sf_dir: str, cfg: QcConfig = CFG) -> DataFrame:
     primers = read_primers(spark, primer_fasta())
     pairs = primer_ambiguity(primers, cfg).orderBy(*ambiguity_order()).collect()
     sites = _located(spark, sf_dir, cfg).withColumns({"verdict": F.lit("PASS"), "prot": F.lit("")})
-    return primer_calls(sites, primer_panel(primers), pairs, cfg)
+    return primer_calls(sites, primer_panel(primers), pairs, cfg).cache()  # several aggregates read it
 
 
 def _analysis(spark: SparkSession, sf_dir: str, **overrides) -> Analysis:
@@ -136,8 +136,7 @@ def panel_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Called VH families by batch, and over all batches where batch is null."""
-    sites = _calls(spark, sf_dir).join(fx_reads(spark, sf_dir).select("ord", "batch"), "ord")
-    rows = sites.where("vh.ok").select("batch", C.call_label("vh").alias("label"))
+    rows = _calls(spark, sf_dir).where("vh.ok").select("batch", C.call_label("vh").alias("label"))
     return rows.groupingSets([["batch", "label"], ["label"]], "batch", "label").agg(F.count("*").alias("n"))
 
 
