@@ -54,7 +54,7 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def batches(texts: pa.Array, most_bytes: int = 16 << 20):
+def batches(texts: pa.Array, most_bytes: int = 4 << 20):
     """Slices (start, length) of a text column that hold at most most_bytes, or one row."""
     sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
@@ -64,6 +64,7 @@ def batches(texts: pa.Array, most_bytes: int = 16 << 20):
         stop = max(at + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
         yield at, stop - at
         at = stop
+    pa.default_memory_pool().release_unused()  # workers live on after a task
 
 
 def string_hashes(strings: pa.Array) -> np.ndarray:
