@@ -142,7 +142,8 @@ def batch_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def control_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = build_config({"analysis_mode": NEGCTRL})
-    clones = control.control_clones(measured(_located(spark, sf_dir, cfg), cfg), cfg)
+    facts = measured(_located(spark, sf_dir, cfg), cfg).select("ord", "id", "n_notI", "n_ascI", "n_link", "pos_notI", "pos_link", "pos_ascI", "stuffer", "insert_bp", "mix_pct", "seq").cache()
+    clones = control.control_clones(facts, cfg)
     return control.control_counts(clones).select("verdict", "n", "level")
 
 
