@@ -95,26 +95,31 @@ def _add_counts(total: np.ndarray, packed: bytes) -> None:
         total[at] += n
 
 
-def _signatures(texts: DataFrame, words_each: int, percent: int, bits: int) -> DataFrame:
-    """(id, n, digest, prefix): size and digest of each set, and its rarest shingles, as many as the prefix filter needs."""
-    sketch = texts.sparkSession.sparkContext.broadcast(shingle_sketch(texts, words_each, bits))
+def _signatures(texts: DataFrame, sketch, words_each: int, percent: int, bits: int, rest: bool = False) -> DataFrame:
+    """(id, n, digest, grp, prefix): size and digest of each set, and its rarest shingles, as many as the prefix filter needs.
+
+    grp is the digest of the prefix. With `rest`, the other shingles stand in the place of the prefix, as column rest.
+    """
 
     def sign(part):
         rank = sketch.value
         for piece, sets in _sets_of(part, words_each):
-            n, digest, grp, prefix = [], [], [], []
+            n, digest, grp, shown = [], [], [], []
             for x in sets:
                 n.append(len(x))
                 digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                 most = len(x) - (percent * len(x) + 99) // 100 + 1 if len(x) else 0
                 key = rank[(x >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(44) | x >> np.uint64(20)
-                prefix.append(x[np.argsort(key, kind="stable")[:most]].view(np.int64))
-                grp.append(hashlib.blake2b(prefix[-1].tobytes(), digest_size=16).digest())
+                order = np.argsort(key, kind="stable")
+                prefix = x[order[:most]].view(np.int64)
+                grp.append(hashlib.blake2b(prefix.tobytes(), digest_size=16).digest())
+                shown.append(x[order[most:]].view(np.int64) if rest else prefix)
             yield pa.RecordBatch.from_pydict(
-                {"id": piece["id"], "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "grp": pa.array(grp, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64()))}
+                {"id": piece["id"], "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "grp": pa.array(grp, pa.binary()), name: pa.array(shown, pa.list_(pa.int64()))}
             )
 
-    return texts.mapInArrow(sign, "id long, n long, digest binary, grp binary, prefix array<long>")
+    name = "rest" if rest else "prefix"
+    return texts.mapInArrow(sign, f"id long, n long, digest binary, grp binary, {name} array<long>")
 
 
 def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -148,6 +153,33 @@ def maybe_in(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def pairs_within_groups(members: DataFrame, texts: DataFrame, sketch, words_each: int, percent: int, bits: int) -> DataFrame:
+    """(a, b): the pairs of one group (n, grp) and different components that can reach the similarity.
+
+    members: (id, n, digest, grp, component) of classes. All of a group have n shingles and share
+    the prefix, so a pair that holds has overlap - prefix of the others in common too. These are
+    ordered by how many members have them, and the first n - overlap + 1 of them meet: a second
+    prefix filter inside the group, so members meet by what few of them share.
+    """
+    bloom = texts.sparkSession.sparkContext.broadcast(bloom_filter(members.select("id").distinct()))
+
+    def of_members(part):
+        for batch in part:
+            yield batch.filter(pa.array(maybe_in(bloom.value, batch["id"].fill_null(0).to_numpy()) & batch["id"].is_valid().to_numpy(zero_copy_only=False)))
+
+    some = _signatures(texts.mapInArrow(of_members, "id long, text string"), sketch, words_each, percent, bits, rest=True)
+    some = some.join(members, ["id", "n", "digest", "grp"]).dropDuplicates(["id", "n", "digest"])
+    key = ["n", "grp", "token"]
+    tokens = materialize(some.select("id", "n", "digest", "grp", "component", F.size("rest").alias("others"), F.explode("rest").alias("token")))
+    counts = tokens.groupBy(key).agg(F.count("*").alias("c")).where("c > 1")
+    own = tokens.join(counts, key).groupBy("id", "n", "digest", "grp", "component", "others").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("x"))
+    overlap = f"(2 * {percent} * n + {99 + percent}) div {100 + percent}"
+    meet = F.expr(f"slice(x, 1, cast(greatest(0, n - {overlap} + 1 - (others - size(x))) as int))")  # shingles of one member come first and meet none
+    dealt = materialize(own.select("id", "n", "grp", "component", F.explode(meet).alias("m")).select("id", "n", "grp", "component", F.col("m.token").alias("token")))
+    u, v = dealt.alias("u"), dealt.alias("v")
+    return u.join(v, F.expr("u.n = v.n and u.grp = v.grp and u.token = v.token and u.component != v.component and u.id < v.id")).select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))
+
+
 def verified_links(pairs: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose exact sets reach the similarity, from the texts of these ids alone.
 
@@ -189,19 +221,22 @@ def jaccard_components(
     1. Equal sets collapse to one class, named by its least id.
     2. Classes with one prefix and size form a group; rare shingles come first in a prefix, so a
        passage that many texts share is in few prefixes. Prefix shingles of one group alone find
-       nothing and are left out before postings are dealt.
+       nothing in other groups and are left out before postings are dealt.
     3. Hub round: members are paired with the least of their group, and groups with the least
        group of each prefix shingle and size band, also of the band below. Pairs are as many as
        postings, however large a group of copies is.
-    4. Links that hold are joined to components. A shingle whose texts are all in one component
-       has nothing left to find. For the others, groups are expanded and every pair of classes in
-       different components that passes the size and position filters is verified: no link is lost.
+    4. Links that hold are joined to components. A shingle or group whose texts are all in one
+       component has nothing left to find. For the other shingles, groups are expanded and every
+       pair of classes in different components that passes the size and position filters is
+       verified; members of one other group meet by the shingles after their prefix, since
+       postings lack the prefix shingles of that group alone. No link is lost.
 
     Null and empty texts have 0 shingles and link with nothing. A null id has a null component.
     Rows that share an id are one node of the graph. Shingles are compared by 64-bit hashes.
     """
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(_signatures(texts, words_each, percent, sketch_bits))
+    sketch = texts.sparkSession.sparkContext.broadcast(shingle_sketch(texts, words_each, sketch_bits))
+    signed = materialize(_signatures(texts, sketch, words_each, percent, sketch_bits))
     slim = signed.where("n > 0 and id is not null").select("id", "n", "digest", "grp")
     classes = slim.groupBy("n", "digest", "grp").agg(F.min("id").alias("rep"))
     groups = classes.groupBy("n", "grp").agg(F.min("rep").alias("hub"))
@@ -247,6 +282,10 @@ def jaccard_components(
             f" and (100 + {percent}) * least(u.n - u.pos, v.n - v.pos) >= {percent} * (u.n + v.n)"
         ),
     ).select(F.least("u.id", "v.id").alias("a"), F.greatest("u.id", "v.id").alias("b"))
+    within = classes.join(span.where("lo != hi").select("hub"), "hub", "left_semi").select(F.col("rep").alias("id"), "n", "digest", "grp")
+    within = materialize(within.join(member.select("id", "component").distinct(), "id"))
+    if not within.isEmpty():
+        open_pairs = open_pairs.union(pairs_within_groups(within, texts, sketch, words_each, percent, sketch_bits))
     open_pairs = materialize(open_pairs.distinct().join(pairs, ["a", "b"], "left_anti"))
     if not open_pairs.isEmpty():
         more = verified_links(open_pairs, texts, words_each, percent)

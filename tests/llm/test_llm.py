@@ -64,6 +64,26 @@ def test_jaccard_join(corpus, k, percent):
     assert got == {i: (len(s[i]), comp[i]) for i in s}
 
 
+@pytest.mark.parametrize("rare,outside", [(29, 0), (21, 5)])
+def test_jaccard_join_within_a_group(spark, rare, outside):
+    """1, 2 and 3 share their rarest shingles and their size, so they are one group; 2 and 3 are linked, neither is with 1, the hub.
+
+    With outside, a text of one shingle shares the last shingle of their prefix.
+    """
+    made = iter(f"u{i}" for i in range(100_000))
+    some = lambda n: [next(made) for _ in range(n)]
+    start, common, one, two = some(rare), some(8), some(96 - rare), some(91 - rare)
+    tails = [one, two + some(5), two + some(5)]
+    rows = [(i + 1, start + common + t) for i, t in enumerate(tails)]
+    rows += [(100 + k, some(150) + common + tails[k % 3] + some(20)) for k in range(18)]
+    rows += [(200, start[:outside])] if outside else []
+    frame = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in rows], DOCS)
+    s, comp = components(frame.toPandas(), 5, 80)
+    assert [len(s[i]) for i in (1, 2, 3)] == [100] * 3 and [comp[i] for i in (1, 2, 3)] == [1, 2, 2]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(frame, 5, 80).collect()}
+    assert got == {i: (len(s[i]), comp[i]) for i in s}
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
