@@ -86,7 +86,7 @@ class Sequences:
 
 
 def _blocks(part, most_bytes):
-    """(block, ids, learns, vocabulary hashes, word places, lengths) of each block of texts; block names the content."""
+    """(block, ids, learns, vocabulary hashes, word places, lengths) of each block of texts; block names the content, equal blocks share a name."""
     for batch in part:
         for at, size in batches(batch["text"], most_bytes):
             piece = batch.slice(at, size)
@@ -94,6 +94,7 @@ def _blocks(part, most_bytes):
             vocabulary = mix(_word_hashes(words.vocabulary))
             ids = piece["id"].to_pylist()
             name = hashlib.blake2b(repr(ids).encode(), digest_size=8)
+            name.update(piece["learns"].to_numpy(zero_copy_only=False).tobytes())
             name.update(words.counts.tobytes())
             name.update(words.hashes().tobytes() if len(words.ids) else b"")
             yield int.from_bytes(name.digest(), "little", signed=True), ids, piece["learns"].to_numpy(zero_copy_only=False), vocabulary, words.ids, words.counts
@@ -192,9 +193,10 @@ def _score_block(texts: pa.Table, replies: pa.Table, order: int, discounts: list
     learns = np.unpackbits(np.frombuffer(texts["learns"][0].as_py(), np.uint8), count=len(ids)).astype(bool)
     seq = Sequences(np.frombuffer(texts["vocabulary"][0].as_py(), np.uint64), unpack(texts["words"][0].as_py(), np.uint32).astype(np.int64), lengths)
     grams = seq.grams(order)
-    wanted: dict[int, dict[int, tuple[bytes, bytes]]] = {m: {} for m in range(1, order + 1)}
+    wanted: dict[int, dict[int, tuple[bytes, np.ndarray]]] = {m: {} for m in range(1, order + 1)}
     for m, b, times, own in zip(*(replies[c].to_pylist() for c in ("m", "bucket", "times", "own")), strict=True):
-        wanted[m][b] = (times, own)
+        bits = np.frombuffer(own, np.uint8)  # blocks of one name get the same totals, and one of them owns
+        wanted[m][b] = (times, bits | wanted[m][b][1] if b in wanted[m] else bits)
     n = len(seq.doc)
     count, owned = [np.zeros(n, np.int64) for _ in range(order)], [np.zeros(n, bool) for _ in range(order)]
     for m in range(1, order + 1):
@@ -202,7 +204,7 @@ def _score_block(texts: pa.Table, replies: pa.Table, order: int, discounts: list
         keys, first, inverse = np.unique(grams[m - 1][at], return_index=True, return_inverse=True)
         got = [(unpack(t, np.int64), o) for _, (t, o) in sorted(wanted[m].items())]
         total = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in got)])
-        own = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(o, np.uint8), count=len(t)) for t, o in got)]).astype(bool)
+        own = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(o, count=len(t)) for t, o in got)]).astype(bool)
         if len(total) != len(keys):
             raise RuntimeError("a block of texts came out otherwise than when it was counted; run again")
         count[m - 1][at] = total[inverse]
@@ -300,8 +302,9 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 2, id_col: st
     sums = scored.where("kind = 'context'").groupBy("m", "context").agg(F.sum("taken").alias("taken"), F.sum("lower").alias("lower"), F.max("total").alias("total"))
     left = F.greatest(1 - F.col("taken") / F.col("total"), F.lit(1e-15))
     weights = materialize(sums.select("m", "context", (left / F.greatest(1 - F.col("lower"), F.lit(1e-15))).alias("weight")))
-    back = scored.where("kind = 'back'").select("block", "row", "m", "context", "times").join(weights, ["m", "context"])
-    back = back.groupBy("block", "row").agg(F.sum(F.col("times") * F.log10("weight")).alias("backed"))
+    back = scored.where("kind = 'back'").select("block", "row", "m", "context", "times").join(weights, ["m", "context"], "left")
+    known = F.when(F.col("weight").isNull(), F.raise_error(F.lit("a context has no backoff weight")).cast("double")).otherwise(F.log10("weight"))
+    back = back.groupBy("block", "row").agg(F.sum(F.col("times") * known).alias("backed"))
     out = scored.where("kind = 'doc'").join(back, ["block", "row"], "left")
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score",

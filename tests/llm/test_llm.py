@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assayloom.llm.common import crc_mod
 from assayloom.llm.decontaminate import contamination, decontaminated
-from assayloom.llm.katz import katz_scores
+from assayloom.llm.katz import discounted, good_turing, katz_scores
 from assayloom.llm.mixing import mix_sources
 from assayloom.llm.neardup_embeddings import brute_force, near_duplicate_vectors
 from assayloom.llm.ngram_join import jaccard_components
@@ -139,6 +139,46 @@ def test_katz_base_and_normalisation(corpus):
         assert math.isfinite(r.score) and r.score < 0
 
 
+def katz_by_hand(rows, order):
+    """rows (text, learns) -> the score of each, by the definition, one n-gram at a time."""
+    seqs = [([None, *"".join(c.lower() if c.isascii() else c for c in (t or "")).split(), None], learns) for t, learns in rows]
+    counts = [Counter(tuple(w[e - m + 1 : e + 1]) for w, learns in seqs if learns for e in range(max(m - 1, 1), len(w))) for m in range(1, order + 1)]
+    d = [good_turing([sum(c == r for c in x.values()) for r in range(1, 7)]) for x in counts]
+    n = sum(counts[0].values())
+    cut = lambda g: float(discounted(np.array([counts[len(g) - 1][g]]), d[len(g) - 1])[0])
+    total = lambda c: counts[len(c) - 1][c]
+    unknown = 1 - sum(map(cut, counts[0])) / n
+    after = {}
+    for x in counts[1:]:
+        for g in x:
+            after.setdefault(g[:-1], []).append(g)
+    weights = {}
+
+    def p(g):
+        if len(g) == 1:
+            return cut(g) / n if counts[0][g] else unknown
+        return cut(g) / total(g[:-1]) if counts[len(g) - 1][g] else weight(g[:-1]) * p(g[1:])
+
+    def weight(c):
+        if c not in weights:
+            seen = after.get(c, [])
+            weights[c] = max(1 - sum(map(cut, seen)) / total(c), 1e-15) / max(1 - sum(p(g[1:]) for g in seen), 1e-15) if total(c) and seen else 1.0
+        return weights[c]
+
+    return [sum(math.log10(p(tuple(w[max(0, e - order + 1) : e + 1]))) for e in range(1, len(w))) for w, _ in seqs]
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_katz_by_definition_and_repeated_rows(corpus, times):
+    docs = corpus if times == 1 else corpus.union(corpus)
+    rows = docs.select("doc_id", "text").collect()
+    want = dict(zip((r.doc_id for r in rows), katz_by_hand([(r.text, zlib.crc32(str(r.doc_id).encode()) % 10 != 0) for r in rows], 2), strict=True))
+    got = katz_scores(docs, crc_mod("doc_id", 10) != 0, order=2).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9), r.doc_id
+
+
 def test_decontamination(spark, corpus):
     passage = text(60)
     bench = spark.createDataFrame([(1, passage), (2, text(50)), (3, None), (4, "")], "item_id long, text string")
