@@ -18,8 +18,10 @@ class Encoder:
     """Ids of texts for a tokenizer whose pre-tokenizer drops white space and never joins across it.
 
     A text's ids are then those of its words in turn, so each distinct word of a batch is encoded
-    once. Plain lower-case words go straight to the library's model and their closing marks are
-    encoded apart; both only after probes show that this tokenizer gives the same ids for the whole.
+    once. Words that are plain once A-Z are lower-cased go so to the library's model and their closing
+    marks are encoded apart; both only after probes show that this tokenizer gives the same ids for
+    the whole. All other words go to the library as they are written: added tokens are matched by
+    case, and marks are composed before letters are lower-cased.
     """
 
     def __init__(self, path: str):
@@ -49,7 +51,7 @@ class Encoder:
         if not self.short:
             pieces = pa.concat_arrays([empty, pa.array(self._encode(words.to_pylist()), pa.list_(pa.int32()))])
             return pieces, np.stack([np.arange(1, n + 1), np.zeros(n, np.int64)], 1).reshape(-1)
-        found = pc.extract_regex(words, PLAIN)
+        found = pc.extract_regex(pc.ascii_lower(words), PLAIN)
         plain = found.is_valid()
         rest = words.filter(pc.invert(plain))
         heads, tails = (found.field(k).filter(plain).dictionary_encode() for k in (0, 1))
@@ -68,7 +70,7 @@ class Encoder:
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, starts) of whole texts; null and empty texts have none."""
         texts = texts.cast(pa.string()).fill_null("")
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.folds else texts)
+        lists = pc.ascii_split_whitespace(texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values[offsets[0] : offsets[-1]].dictionary_encode()
         pieces, index = self.words(coded.dictionary)

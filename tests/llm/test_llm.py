@@ -112,6 +112,19 @@ def test_token_store_round_trip(corpus):
         start += len(ids)
 
 
+def test_words_are_encoded_as_written():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from assayloom.llm.encoding import Encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["a <|ENDOFTEXT|> b", "x<|StartOfText|>y", "<|endoftext|>", "H\u0331 aH\u0331b", "J\u030c", "T\u0308", "HELLO, World!! hello", "\u00c9T\u00c9 Stra\u00dfe", None, ""]
+    ids, starts = Encoder(path).texts(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def test_token_counts_add_up(corpus):
     import base64
 
