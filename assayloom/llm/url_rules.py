@@ -66,12 +66,11 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.coalesce(every, F.array().cast("array<string>")))
 
 
-def mine_url_rules(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.85, most_tokens: int = 3) -> DataFrame:
+def mine_url_rules(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.85) -> DataFrame:
     """labelled (tokens, verdict) -> (tokens, verdict, confidence, support): rules of FP-growth that name a verdict.
 
-    Tokens below the support are dropped before mining, so each row has few items; a rule has at
-    most most_tokens tokens. Rules are as many as frequent token sets, which depends on the
-    support and not on the number of rows.
+    Tokens below the support are dropped before mining, so each row has few items. Rules are as
+    many as frequent token sets, which depends on the support and not on the number of rows.
     """
     empty = "tokens array<string>, verdict string, confidence double, support double"
     n = labelled.count()
@@ -87,7 +86,7 @@ def mine_url_rules(labelled: DataFrame, min_support: float = 0.01, min_confidenc
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(materialize(baskets))
     names = F.col("consequent")[0].startswith(VERDICT)
     tokens_only = F.forall("antecedent", lambda x: ~x.startswith(VERDICT))
-    return model.associationRules.where(names & tokens_only & (F.size("antecedent") <= most_tokens)).select(
+    return model.associationRules.where(names & tokens_only).select(
         F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(VERDICT) + 1, 1000).alias("verdict"), "confidence", "support"
     )
 

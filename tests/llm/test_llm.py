@@ -20,7 +20,7 @@ from assayloom.llm.quality import fit_quality, score_quality
 from assayloom.llm.token_counts import token_counts
 from assayloom.llm.token_store import token_digests
 from assayloom.llm.toxicity import fit_toxicity, score_toxicity
-from assayloom.llm.url_rules import UrlRule, judge_urls
+from assayloom.llm.url_rules import UrlRule, judge_urls, mine_url_rules
 
 RNG = np.random.default_rng(3)
 WORDS = [f"w{i}" for i in range(400)]
@@ -221,6 +221,12 @@ def test_url_rules(spark):
     assert got[3] == ("b.com", "/de/2", "com/de/") and got[4] == got[5] == ("", "", None) and got[6] == ("example.org", "/", "org/")
 
 
+def test_url_rules_of_four_tokens(spark):
+    rows = [(list(t), v) for t, v in (("abcd", "block"), ("abc", "allow"), ("abd", "allow"), ("acd", "allow"), ("bcd", "allow")) for _ in range(20)]
+    got = mine_url_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string")).collect()
+    assert [r.tokens for r in got if r.verdict == "block"] == [list("abcd")]
+
+
 @pytest.mark.parametrize("fit,score,label", [(fit_toxicity, score_toxicity, "toxic"), (fit_quality, score_quality, "quality")])
 def test_classifiers_on_held_out_rows(spark, fit, score, label):
     d = "/root/testdata/sf0.1"
