@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
@@ -27,8 +27,11 @@ URL_RULES = [
 ]
 
 
-#: The tree of the mixture: a domain by the name of the source, then language, then source.
-MIX_LEVELS = {"domain": F.when(F.col("source").rlike("^src[0-9]$"), "web").otherwise("curated"), "lang": F.col("lang"), "source": F.col("source")}
+def mix_levels() -> dict[str, Column]:
+    """The tree of the mixture: a domain by the name of the source, then language, then source."""
+    return {"domain": F.when(F.col("source").rlike("^src[0-9]$"), "web").otherwise("curated"), "lang": F.col("lang"), "source": F.col("source")}
+
+
 MIX_WEIGHTS = {
     (domain, *lang): w
     for domain, d in (("web", 0.6), ("curated", 0.4))
@@ -51,7 +54,7 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), MIX_LEVELS, MIX_WEIGHTS, share=0.8, max_epochs=2)
+    got = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), mix_levels(), MIX_WEIGHTS, share=0.8, max_epochs=2)
     return got.select("doc_id", "mix_domain", "mix_lang", "mix_source", "mix_epoch", "mix_tokens", "mix_take")
 
 

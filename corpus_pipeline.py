@@ -12,7 +12,7 @@ from assayloom.llm.common import crc_mod, materialize, table
 from assayloom.llm.decontaminate import decontaminated
 from assayloom.llm.mixing import mix_sources
 from assayloom.llm.ngram_join import jaccard_components
-from assayloom.llm.queries import MIX_LEVELS, MIX_WEIGHTS
+from assayloom.llm.queries import MIX_WEIGHTS, mix_levels
 from assayloom.llm.token_store import token_digests
 from assayloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -44,7 +44,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture of domains, languages and sources, as many words as came in, in two epochs at most."""
-    taken = mix_sources(docs, MIX_LEVELS, MIX_WEIGHTS, share=1.0, max_epochs=2)
+    taken = mix_sources(docs, mix_levels(), MIX_WEIGHTS, share=1.0, max_epochs=2)
     return taken.withColumn("n_chars", F.when(F.col("mix_take") < F.col("mix_tokens"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
