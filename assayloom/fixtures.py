@@ -137,8 +137,19 @@ def reads_sql(d: Dialect, orders: str) -> str:
     heavy += f" || '{BEFORE_CDR3}{AFTER_C}' || substring(fh, 401, cast(18 + 3 * (k % 8) as {d.whole})) || '{FR4}' || jh"
     whole = f"'{PELB_ATG}GGG{QC1[: QC1.find(NOTI)]}' || noti || 'A' || {heavy} || link || vl || substring(fl, 1, cast({size_l} as {d.whole})) || vj || asci || '{QC3[len(ASCI) :]}' || tail || again || 'ACGACGGACCAGGACAACGA'"
     forward = f"select k, {whole} as seq from ({filled}) f"
+    if d.spark:  # the same from whole arrays: a stretch of the ten qualities in turn, with low ends and one misread base
+        turn = "slice(flatten(array_repeat(array(30, 37, 34, 31, 38, 35, 32, 39, 36, 33), 200)), cast(3 * k % 10 as int) + 1 + {0}, {1})"
+        head = "case when k % 5 = 0 then 12 else 6 end"
+        odd = f"case when k % 13 = 0 and k % 2 = 0 then array(5) else {turn.format('41', '1')} end"
+        quals = f"concat(array_repeat(8, {head}), {turn.format(head, f'41 - {head}')}, {odd}, {turn.format('42', 'length(seq) - 57')}, array_repeat(8, 15))"
+        return _reads(d, f"select k, seq, {quals} as q from ({forward}) s")
     low = "case when i < case when k % 5 = 0 then 12 else 6 end or i >= length(seq) - 15 then 8 when i = 41 and k % 13 = 0 and k % 2 = 0 then 5 else 30 + (31 * k + 17 * i) % 10 end"
     with_q = f"select k, seq, {d.each('i', d.numbers('length(seq)'), f'cast({low} as {d.whole})')} as q from ({forward}) s"
+    return _reads(d, with_q)
+
+
+def _reads(d: Dialect, with_q: str) -> str:
+    """Reads as a sequencer gives them from (k, seq, q): every seventh is turned."""
     return f"""
     select k as ord, concat('VH', cast(k % 6 + 1 as {d.text}), '-VK_', cast(k as {d.text})) as id,
       concat('run', cast(k % 3 as {d.text}), '/', 'VH', cast(k % 6 + 1 as {d.text}), '-VK_', cast(k as {d.text}), '.ab1') as filename,
@@ -149,7 +160,9 @@ def reads_sql(d: Dialect, orders: str) -> str:
 
 
 def fx_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(reads_sql(SPARK, "{orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").repartition("o_orderkey"))
+    """A key becomes a read of some 4 KB, so keys are dealt to all cores first: their file may be one split."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    return spark.sql(reads_sql(SPARK, "{orders}"), orders=keys.repartition(2 * spark.sparkContext.defaultParallelism, "o_orderkey"))
 
 
 def primers_sql(groups: tuple[str, ...] = ()) -> str:

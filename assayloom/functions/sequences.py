@@ -5,8 +5,8 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,14 +70,42 @@ def _codon_table() -> dict[str, str]:
 CODONS = _codon_table()
 
 
+def _letters(seqs: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The letters of all texts in turn and the bounds of each; nulls are empty, a letter beyond ASCII counts as one `?`."""
+    seqs = seqs.cast(pa.string()).fill_null("")
+    if not pc.all(pc.string_is_ascii(seqs)).as_py():
+        seqs = pc.replace_substring_regex(seqs, "[^\x00-\x7f]", "?")
+    _, ends, data = seqs.buffers()
+    bounds = np.frombuffer(ends, np.int32)[seqs.offset : seqs.offset + len(seqs) + 1].astype(np.int64) if len(seqs) else np.zeros(1, np.int64)
+    return (data.to_pybytes() if data else b"")[: bounds[-1]], bounds
+
+
+def _residues() -> np.ndarray:
+    """The amino acid's letter by the codes of three bases, X for all other letters."""
+    out = np.full((16, 16, 16), ord("X"), np.uint8)
+    for codon, acid in CODONS.items():
+        out[tuple("".join(IUPAC).index(c) for c in codon)] = ord(acid)
+    return out
+
+
+_RESIDUES, _BASE_CODE = _residues(), np.full(256, 15, np.uint8)
+_BASE_CODE[np.frombuffer("".join(IUPAC).encode(), np.uint8)] = np.arange(len(IUPAC))
+
+
 def translate(seq: Column) -> Column:
-    """Amino acids of whole codons; X where a codon has a letter that stands for no base or several readings."""
-    plain = {k: v for k, v in CODONS.items() if set(k) <= set("ACGT")}
-    quick = F.create_map(*[F.lit(x) for kv in plain.items() for x in kv])
-    every = F.create_map(*[F.lit(x) for kv in CODONS.items() if kv[0] not in plain and kv[1] != "X" for x in kv])
-    one = lambda codon: F.coalesce(F.try_element_at(quick, codon), F.try_element_at(every, codon), F.lit("X"))
-    n = F.floor(F.length(seq) / 3).cast("int")
-    return F.array_join(F.transform(places(F.lit(0), n), lambda i: one(F.substring(seq, i * 3 + 1, F.lit(3)))), "")
+    """Amino acids of whole codons; X where a codon has a letter that stands for no base or several readings. Null stays null."""
+
+    @F.arrow_udf("string")
+    def acids(seqs: pa.Array) -> pa.Array:
+        raw, bounds = _letters(seqs)
+        code = _BASE_CODE[np.frombuffer(raw, np.uint8)]
+        n = np.diff(bounds) // 3
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(bounds[:-1] - 3 * ends[:-1], n) + 3 * np.arange(ends[-1])
+        out = pa.StringArray.from_buffers(len(n), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(_RESIDUES[code[at], code[at + 1], code[at + 2]].tobytes()))
+        return pc.if_else(seqs.is_valid(), out, None)
+
+    return acids.asNondeterministic()(seq)
 
 
 def is_reversed(seq: Column) -> Column:
@@ -119,53 +147,124 @@ def trim_window(seq: Column, qual: Column, least: float, win: int) -> Column:
 
 
 HIT = "struct<pos:int,mm:int,q:array<int>>"
-
-
-def find_motif(seq: Column, qual: Column, motif: str, start: Column, most: int, miscall_q: int, exact_first: bool = True) -> Column:
+_HIT = pa.struct([("pos", pa.int32()), ("mm", pa.int32()), ("q", pa.list_(pa.int32()))])
+
+
+def _search(raw: bytes, bounds: np.ndarray, quals: pa.Array, motif: str, start: np.ndarray, most: int, miscall_q: int) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+    """(pos, mm, qualities of mismatches by row) of one motif in each text, sought from start on, in a batch of texts."""
+    pattern, m, n = motif.encode(), len(motif), len(bounds) - 1
+    low = bounds[:-1] + start
+    pos = np.array([raw.find(pattern, a, b) for a, b in zip(low.tolist(), bounds[1:].tolist(), strict=True)], np.int64)
+    pos = np.where(pos >= 0, pos - bounds[:-1], -1)
+    mm, shown = np.zeros(n, np.int32), {}
+    lacks = np.flatnonzero((pos < 0) & (bounds[1:] - low >= m))
+    if not len(lacks):
+        return pos, mm, shown
+    letters = np.frombuffer(raw, np.uint8)
+    size = (bounds[1:] - low)[lacks]
+    ends = np.cumsum(size)
+    row = np.repeat(np.arange(len(lacks)), size)
+    flat = letters[np.arange(ends[-1]) - (ends - size)[row] + low[lacks][row]]
+    wrong = np.zeros(len(flat) - m + 1, np.uint8)
+    for j, c in enumerate(pattern):
+        wrong += flat[j : j + len(wrong)] != c
+    near = np.flatnonzero(wrong <= most)
+    near = near[near + m <= ends[row[near]]]
+    values, q_bounds = _pieces(quals)
+    for k in near[np.lexsort((near, wrong[near], row[near]))]:
+        r = int(lacks[row[k]])
+        if pos[r] >= 0:
+            continue
+        at = int(k - (ends - size)[row[k]] + start[r])
+        places = at + np.flatnonzero(flat[k : k + m] != np.frombuffer(pattern, np.uint8))
+        mine = values[q_bounds[r] : q_bounds[r + 1]]
+        q = [int(mine[p]) if p < len(mine) else 0 for p in places]
+        if all(x < miscall_q for x in q):
+            pos[r], mm[r], shown[r] = at, len(q), q
+    return pos, mm, shown
+
+
+def _hits(pos: np.ndarray, mm: np.ndarray, shown: dict[int, list[int]]) -> pa.Array:
+    sizes = np.zeros(len(pos), np.int32)
+    for r, q in shown.items():
+        sizes[r] = len(q)
+    flat = [x for r in sorted(shown) for x in shown[r]]
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int32()))
+    return pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), pa.array(mm), lists], fields=list(_HIT))
+
+
+def find_motif(seq: Column, qual: Column, motif: str, start: Column, most: int, miscall_q: int) -> Column:
     """struct(pos, mm, q): the first exact hit at or after start, else the best hit of misread bases.
 
     Such a hit has at most `most` mismatches, each with a quality below miscall_q (a missing quality
     counts as 0); fewer mismatches win, then the leftmost. q has the qualities of the mismatches.
-    Only reads without an exact hit are searched base by base, in Arrow batches.
+    Letters of a whole Arrow batch are compared at once.
     """
-    pattern = np.frombuffer(motif.encode(), np.uint8)
-    m = len(motif)
 
-    @F.arrow_udf("pos int, mm int, q array<int>")
-    def near(seqs: pa.Array, quals: pa.Array, starts: pa.Array) -> pa.Array:
-        values, ends = _pieces(quals)
-        out = []
-        for r, (text, first) in enumerate(zip(seqs.to_pylist(), starts.to_pylist(), strict=True)):
-            out.append(None if text is None else {"pos": -1, "mm": 0, "q": []})
-            bases = np.frombuffer((text or "").encode("latin1", "replace"), np.uint8)[first:]
-            if len(bases) < m:
-                continue
-            wrong = np.lib.stride_tricks.sliding_window_view(bases, m) != pattern
-            count = wrong.sum(1)
-            mine = values[ends[r] : ends[r + 1]]
-            near = np.flatnonzero(count <= most)
-            for at in near[np.argsort(count[near], kind="stable")]:
-                places = first + at + np.flatnonzero(wrong[at])
-                q = [int(mine[k]) if k < len(mine) else 0 for k in places]
-                if all(x < miscall_q for x in q):
-                    out[-1] = {"pos": int(first + at), "mm": len(q), "q": q}
-                    break
-        return pa.array(out, pa.struct([("pos", pa.int32()), ("mm", pa.int32()), ("q", pa.list_(pa.int32()))]))
+    @F.arrow_udf(HIT)
+    def look(seqs: pa.Array, quals: pa.Array, starts: pa.Array) -> pa.Array:
+        raw, bounds = _letters(seqs)
+        first = np.minimum(np.maximum(starts.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0), np.diff(bounds))
+        return _hits(*_search(raw, bounds, quals, motif, first, most, miscall_q))
 
-    start = F.greatest(start, F.lit(0))
-    exact = find(seq, motif, start) if exact_first else F.lit(-1)
-    searched = exact < 0
-    found = near.asNondeterministic()(F.when(searched, seq), F.when(searched, F.coalesce(qual, F.array().cast("array<int>"))), start.cast("int"))
-    return F.when(searched, found).otherwise(F.struct(exact.alias("pos"), F.lit(0).alias("mm"), F.array().cast("array<int>").alias("q"))).cast(HIT)
+    return look.asNondeterministic()(seq, F.coalesce(qual, F.array().cast("array<int>")), start.cast("int"))
+
+
+def find_sites(seq: Column, qual: Column, motifs: dict[str, tuple[str, str | None]], most: int, miscall_q: int) -> Column:
+    """struct of a hit for each motif, as find_motif has it, in one pass over the read.
+
+    motifs: name -> (motif, name of the motif that it follows, or None). One that follows another is
+    sought after the end of its hit; where that has none, from where that was sought.
+    """
+
+    @F.arrow_udf("struct<" + ",".join(f"{k}:{HIT}" for k in motifs) + ">")
+    def look(seqs: pa.Array, quals: pa.Array) -> pa.Array:
+        raw, bounds = _letters(seqs)
+        out, after = [], {}
+        for k, (motif, before) in motifs.items():
+            start = after[before] if before else np.zeros(len(seqs), np.int64)
+            pos, mm, shown = _search(raw, bounds, quals, motif, start, most, miscall_q)
+            after[k] = np.where(pos >= 0, pos + len(motif), start)
+            out.append(_hits(pos, mm, shown))
+        return pa.StructArray.from_arrays(out, fields=[pa.field(k, _HIT) for k in motifs])
+
+    return look.asNondeterministic()(seq, F.coalesce(qual, F.array().cast("array<int>")))
+
+
+TANDEM = pa.struct([("pos", pa.int32()), ("period", pa.int32()), ("unit", pa.string())])
 
 
 def find_tandem(seq: Column, shortest: int) -> Column:
-    """struct(pos, period, unit) of the tandem repeat of the smallest period, then the leftmost; null if none."""
-    tries = []
-    for period in range(shortest, REPEAT_MAX_PERIOD + 1):
-        at = F.regexp_instr(seq, F.lit(f"(?s)(.{{{period}}})\\1")) - 1
-        tries.append(F.when((F.length(seq) >= 2 * period) & (at >= 0), F.struct(at.cast("int").alias("pos"), F.lit(period).alias("period"), F.substring(seq, at + 1, F.lit(period)).alias("unit"))))
-    return F.coalesce(*tries)
+    """struct(pos, period, unit) of the tandem repeat of the smallest period, then the leftmost; null if none.
+
+    For each period the letters of a batch are compared with those a period on; runs of a whole
+    period are repeats.
+    """
+
+    @F.arrow_udf("pos int, period int, unit string")
+    def repeats(seqs: pa.Array) -> pa.Array:
+        raw, bounds = _letters(seqs)
+        found: dict[int, tuple[int, int]] = {}
+        for first in range(0, len(seqs), 1000):
+            own = bounds[first : first + 1001]
+            letters = np.frombuffer(raw, np.uint8)[own[0] : own[-1]]
+            ends = own[1:] - own[0]
+            row = np.repeat(np.arange(len(ends)), np.diff(own))
+            for period in range(shortest, REPEAT_MAX_PERIOD + 1):
+                if len(letters) < 2 * period:
+                    break
+                runs = np.concatenate([[0], np.cumsum(letters[period:] == letters[:-period], dtype=np.int32)])
+                hits = np.flatnonzero(runs[period:] - runs[:-period] == period)
+                hits = hits[hits + 2 * period <= ends[row[hits]]]
+                rows, leftmost = np.unique(row[hits], return_index=True)
+                for r, at in zip(rows.tolist(), hits[leftmost].tolist(), strict=True):
+                    found.setdefault(first + r, (at + int(own[0]), period))
+        rows = [None] * len(seqs)
+        for r, (at, period) in found.items():
+            rows[r] = {"pos": at - int(bounds[r]), "period": period, "unit": raw[at : at + period].decode()}
+        return pa.array(rows, TANDEM)
+
+    return repeats.asNondeterministic()(seq)
 
 
 def trace_purity(channels: list[Column], ploc: Column, lo: Column, hi: Column, ratio: float) -> Column:
@@ -259,24 +358,64 @@ def near_landmarks(name: str, max_sub: int):
     """
     landmark = LANDMARKS[name]
 
-    @F.pandas_udf(NEAR)
-    def near(seqs: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"sub": pd.array([None] * len(seqs), "Int32"), "gap": pd.array([None] * len(seqs), "Int32"), "pos": pd.array([None] * len(seqs), "Int32"), "aligned": pd.array([None] * len(seqs), "boolean")})
+    @F.arrow_udf(NEAR)
+    def near(seqs: pa.Array) -> pa.Array:
+        n = len(seqs)
+        sub, gap, place, aligned = (np.zeros(n, np.int32) for _ in range(4))
         later, windows, lows = [], [], []
-        for r, seq in enumerate(seqs):
+        for r, seq in enumerate(seqs.to_pylist()):
             if seq is None:
                 continue
-            sub, pos = scan_landmark(landmark, seq)
-            out.iloc[r] = [sub, 0, pos, False]
-            if pos >= 0 and sub > max_sub:
-                low = max(0, pos - ALIGN_FLANK)
+            sub[r], place[r] = scan_landmark(landmark, seq)
+            if place[r] >= 0 and sub[r] > max_sub:
+                low = max(0, int(place[r]) - ALIGN_FLANK)
                 later.append(r)
                 lows.append(low)
-                windows.append(seq[low : pos + len(landmark) + ALIGN_FLANK])
+                windows.append(seq[low : place[r] + len(landmark) + ALIGN_FLANK])
         if later:
             got = align_windows(landmark, windows)
-            for r, low, (sub, gap, start) in zip(later, lows, got, strict=True):
-                out.iloc[r] = [int(sub), int(gap), int(low + start), True]
-        return out
+            sub[later], gap[later], place[later], aligned[later] = got[:, 0], got[:, 1], got[:, 2] + lows, 1
+        none = ~seqs.is_valid().to_numpy(zero_copy_only=False)
+        columns = [pa.array(x, mask=none) for x in (sub, gap, place, aligned.astype(bool))]
+        return pa.StructArray.from_arrays(columns, ["sub", "gap", "pos", "aligned"])
 
     return near.asNondeterministic()
+
+
+def lay_patterns(seq: Column, sites: dict[str, Column], patterns: list[tuple[str, int, str]]) -> Column:
+    """array<struct(i, start, mmpos)>: where each pattern lies on the read and the places whose base it does not allow.
+
+    patterns: (site, offset, IUPAC letters), laid at the site's position plus offset. Patterns whose
+    site is missing (-1 or null) or that run off the read are left out; i is the pattern's place.
+    """
+    names = list(sites)
+
+    @F.arrow_udf("array<struct<i:int,start:int,mmpos:array<int>>>")
+    def lay(seqs: pa.Array, at: pa.Array) -> pa.Array:
+        raw, bounds = _letters(seqs)
+        letters, size = np.frombuffer(raw, np.uint8), np.diff(bounds)
+        rows, which, starts, wrong_rows, wrong_at = [], [], [], [], []
+        done = 0
+        for i, (site, offset, pattern) in enumerate(patterns):
+            pos = at.field(names.index(site)).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            start = pos + offset
+            some = np.flatnonzero((pos >= 0) & (start >= 0) & (start + len(pattern) <= size))
+            bases = _SEEN_OF[letters[(bounds[some] + start[some])[:, None] + np.arange(len(pattern))]]
+            r, k = np.nonzero((bases & _masks(pattern)) == 0)
+            rows.append(some)
+            which.append(np.full(len(some), i))
+            starts.append(start[some])
+            wrong_rows.append(done + r)
+            wrong_at.append(k)
+            done += len(some)
+        row, which, start = np.concatenate(rows), np.concatenate(which), np.concatenate(starts)
+        order = np.lexsort((which, row))
+        each = np.bincount(np.concatenate(wrong_rows), minlength=done)
+        firsts = np.cumsum(each) - each
+        taken = np.repeat(firsts[order] - (np.cumsum(each[order]) - each[order]), each[order]) + np.arange(each.sum())
+        bound = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        places = pa.ListArray.from_arrays(bound(each[order]), pa.array(np.concatenate(wrong_at)[taken].astype(np.int32)))
+        laid = pa.StructArray.from_arrays([pa.array(which[order].astype(np.int32)), pa.array(start[order].astype(np.int32)), places], ["i", "start", "mmpos"])
+        return pa.ListArray.from_arrays(bound(np.bincount(row, minlength=len(seqs))), laid)
+
+    return lay.asNondeterministic()(seq, F.struct(*[c.cast("int").alias(k) for k, c in sites.items()]))

@@ -61,17 +61,13 @@ def oriented(reads: DataFrame, cfg: QcConfig) -> DataFrame:
 
 def located(x: DataFrame, cfg: QcConfig) -> DataFrame:
     """Counts of exact sites and positions of all sites; each of NotI, linker, AscI is sought after the one before it."""
-    seq, qual = F.col("seq"), F.col("qual")
-    look = lambda motif, start: S.find_motif(seq, qual, motif, start, cfg["pos_max_mismatch"], cfg["pos_miscall_q"])
+    seq = F.col("seq")
+    motifs = {"notI": (NOTI, None), "link": (QC2, "notI"), "ascI": (ASCI, "link"), "stuffer": (STUFFER, None), "pelB": (PELB_ATG, None)}
     x = x.withColumns({f"n_{k}": S.count_motif(seq, m) for k, m in (("notI", NOTI), ("ascI", ASCI), ("link", QC2))})
-    x = x.withColumn("hit_notI", look(NOTI, F.lit(0)))
-    x = x.withColumn("from_link", F.when(F.col("hit_notI.pos") >= 0, F.col("hit_notI.pos") + len(NOTI)).otherwise(0))
-    x = x.withColumn("hit_link", look(QC2, F.col("from_link")))
-    x = x.withColumn("from_ascI", F.when(F.col("hit_link.pos") >= 0, F.col("hit_link.pos") + len(QC2)).otherwise(F.col("from_link")))
-    x = x.withColumns({"hit_ascI": look(ASCI, F.col("from_ascI")), "hit_stuffer": look(STUFFER, F.lit(0)), "hit_pelB": look(PELB_ATG, F.lit(0))})
-    x = x.withColumns({f"pos_{k}": F.col(f"hit_{k}.pos") for k in ("notI", "link", "ascI")} | {"stuffer": F.col("hit_stuffer.pos") >= 0, "orf_start": F.col("hit_pelB.pos")})
-    approx = F.create_map(*[v for k in SITES for v in (F.lit(k), F.struct(F.col(f"hit_{k}.mm").alias("mm"), F.col(f"hit_{k}.q").alias("q")))])
-    return x.withColumn("pos_approx", approx).drop("from_link", "from_ascI", *[f"hit_{k}" for k in SITES])
+    x = x.withColumn("hit", S.find_sites(seq, F.col("qual"), motifs, cfg["pos_max_mismatch"], cfg["pos_miscall_q"]))
+    x = x.withColumns({f"pos_{k}": F.col(f"hit.{k}.pos") for k in ("notI", "link", "ascI")} | {"stuffer": F.col("hit.stuffer.pos") >= 0, "orf_start": F.col("hit.pelB.pos")})
+    approx = F.create_map(*[v for k in SITES for v in (F.lit(k), F.struct(F.col(f"hit.{k}.mm").alias("mm"), F.col(f"hit.{k}.q").alias("q")))])
+    return x.withColumn("pos_approx", approx).drop("hit")
 
 
 def judged_landmark(name: str, covered: Column, cfg: QcConfig, near: Column, exact: Column, qual: Column) -> Column:

@@ -18,7 +18,8 @@ from .operators import control, reports
 from .operators.calling import LINKER_PROTEIN, primer_calls
 from .operators.primers import ambiguity_order, place_primer, primer_ambiguity, primer_panel
 from .operators.structure import insert_md5, located, measured, oriented, structural_qc, with_landmarks
-from .plans.analysis import Analysis, analyze
+from .plans.analysis import Analysis, analyze, with_identity
+from .sinks.scratch import materialize
 from .sinks.text import csv_lines
 from .sources.ab1 import basename, clone_id
 from .sources.fasta import core_trims, fasta_entries, primer_table, read_primers
@@ -31,11 +32,11 @@ def _located(spark: SparkSession, sf_dir: str, cfg: QcConfig = CFG) -> DataFrame
 
 
 def _calls(spark: SparkSession, sf_dir: str, cfg: QcConfig = CFG) -> DataFrame:
-    """Calls that need sites alone: structure is not computed."""
+    """Calls that need sites alone: structure is not computed. A written table, so that plans above it stay small."""
     primers = read_primers(spark, primer_fasta())
     pairs = primer_ambiguity(primers, cfg).orderBy(*ambiguity_order()).collect()
     sites = _located(spark, sf_dir, cfg).withColumns({"verdict": F.lit("PASS"), "prot": F.lit("")})
-    return primer_calls(sites, primer_panel(primers), pairs, cfg).cache()  # several aggregates read it
+    return materialize(primer_calls(sites, primer_panel(primers), pairs, cfg))
 
 
 def _analysis(spark: SparkSession, sf_dir: str, **overrides) -> Analysis:
@@ -103,7 +104,7 @@ def structural_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structural_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.flag_frequency(structural_qc(fx_reads(spark, sf_dir), CFG))
+    return C.flag_frequency(materialize(structural_qc(fx_reads(spark, sf_dir), CFG).select("flags")))
 
 
 def primer_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +143,8 @@ def batch_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def control_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = build_config({"analysis_mode": NEGCTRL})
-    facts = measured(_located(spark, sf_dir, cfg), cfg).select("ord", "id", "n_notI", "n_ascI", "n_link", "pos_notI", "pos_link", "pos_ascI", "stuffer", "insert_bp", "mix_pct", "seq").cache()
-    clones = control.control_clones(facts, cfg)
+    facts = measured(_located(spark, sf_dir, cfg), cfg).select("ord", "id", "n_notI", "n_ascI", "n_link", "pos_notI", "pos_link", "pos_ascI", "stuffer", "insert_bp", "mix_pct", "seq")
+    clones = control.control_clones(materialize(facts), cfg)
     return control.control_counts(clones).select("verdict", "n", "level")
 
 
@@ -170,7 +171,7 @@ def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structure_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.structure_table(structural_qc(fx_reads(spark, sf_dir), CFG))
+    return reports.structure_table(structural_qc(with_identity(fx_reads(spark, sf_dir)), CFG))
 
 
 def call_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,7 +351,7 @@ def _oracle() -> dict[str, str]:
             from every e left join seen s on e.grp = s.grp and e.chain = s.chain and e.name = s.name group by e.grp, e.chain)
           select s.grp, s.chain, coalesce(n, 0) as n, total_n, observed, unobserved, round(pow(1 - 1.0 / total_n, coalesce(n, 0)), 9) as power_p, pow(1 - 1.0 / total_n, coalesce(n, 0)) >= 0.05 as underpowered from sums s left join ns on s.grp = ns.grp and s.chain = ns.chain""",
         "batch_families": f"with {_called()} select batch, {label} as label, count(*) as n from calls where key = 'vh' and ok group by grouping sets ((batch, {label}), ({label}))",
-        "control_verdicts": f"with {_sites()}, judged as (select {verdict} as verdict, count(*) as n from sites group by 1), every(verdict, level) as (values {levels}) select e.verdict, coalesce(n, 0) as n, level from every e left join judged j on e.verdict = j.verdict",
+        "control_verdicts": f"with {_sites()}, facts as materialized (select n_notI, n_link, n_ascI, pos_notI, pos_link, pos_ascI, stuffer, insert_bp from sites), judged as (select {verdict} as verdict, count(*) as n from facts group by 1), every(verdict, level) as (values {levels}) select e.verdict, coalesce(n, 0) as n, level from every e left join judged j on e.verdict = j.verdict",
         "insert_fingerprints": f"with {_sites()} select md5(substr(seq, pos_notI + 1, insert_bp)) as insert_md5, count(*) as n, min(ord) as first_ord from sites where insert_bp is not null group by 1",
         "natural_order": f"with reads as ({reads_sql(DUCK, 'orders')}) select id, row_number() over (order by cast(regexp_extract(id, '^VH([0-9]+)', 1) as bigint), cast(regexp_extract(id, '_([0-9]+)$', 1) as bigint), ord) as place from reads",
         "csv_export": f"with {_sites()} select ord, concat_ws(',', id, direction, length(seq), pos_notI, pos_link, pos_ascI) as csv_line from sites union all select -1, 'clone,dir,used,NotI,linker,AscI'",

@@ -2,8 +2,11 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,11 +20,11 @@ SF = "/root/testdata/sf0.001"
 
 
 def rows(frame, columns):
-    show = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    show = lambda v: None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted([tuple(map(show, r)) for r in frame[columns].astype(object).itertuples(index=False)], key=str)
 
 
-@pytest.mark.parametrize("name", ["synthetic_reads", "read_names", "orientation", "quality_trim", "motif_positions", "primer_pairs", "primer_groups", "trace_mixing", "natural_order"])
+@pytest.mark.parametrize("name", ["synthetic_reads", "read_names", "orientation", "quality_trim", "motif_positions", "insert_distances", "translation", "cdr3_lengths", "call_rows", "family_tally", "family_species", "panel_coverage", "batch_families", "control_verdicts", "insert_fingerprints", "csv_export", "primer_pairs", "primer_groups", "trace_mixing", "natural_order"])
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
@@ -74,3 +77,29 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(QUERIES) >= 30
+
+
+def _fresh(code):
+    """What a new process prints that has no session."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+    return done.stdout.split()
+
+
+def test_entry_is_imported_without_a_session():
+    assert int(_fresh("import __spark_entry__ as e; print(len(e.queries()))")[-1]) >= 30
+
+
+def test_entry_is_imported_without_the_corpus_operators():
+    hide = """
+import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name.startswith("assayloom.llm"):
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as e
+print(sum(q.startswith("op") or q == "pipeline" for q in e.queries()), len(e.queries()))
+"""
+    assert [int(x) for x in _fresh(hide)[-2:]] == [0, len(QUERIES)]
