@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,31 +9,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.scratch import materialize, scratch_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (tests in one JVM) a local folder stands in.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared scratch folder and read it: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, seed: int) -> DataFrame:
     """(doc_id, text, y, turn): texts of at most `rows` labelled ids for which `learn` holds, drawn by a seeded hash.
 
@@ -54,7 +33,7 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def batches(texts: pa.Array, most_bytes: int = 4 << 20):
+def batches(texts: pa.Array, most_bytes: int = 1 << 20):
     """Slices (start, length) of a text column that hold at most most_bytes, or one row."""
     sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)

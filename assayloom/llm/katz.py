@@ -264,14 +264,14 @@ def _score_block(texts: pa.Table, replies: pa.Table, order: int, discounts: list
     return pa.concat_tables([pa.table({c: pa.array([block] * len(t["kind"]), k) if c == "block" else pa.array(t[c], k) if c in t else pa.nulls(len(t["kind"]), k) for c, k in types.items()}) for t in tables])
 
 
-def katz_scores(documents: DataFrame, learns: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 10 << 20) -> DataFrame:
+def katz_scores(documents: DataFrame, learns: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every text, learning from all texts where `learns` holds.
 
     score: log10 probability of the text under a Katz model of the given order, closing sign included.
     A text begins after the closing sign. Words that the learnt texts lack share the mass that
     Good-Turing takes from the single words.
 
-    Each block of texts (10 MB) sends its distinct n-grams once to the buckets that count them and
+    Each block of texts (6 MB) sends its distinct n-grams once to the buckets that count them and
     gets totals back in the order it asked, so what moves is a few bytes for each distinct n-gram
     of a block. Buckets are ranges of a 64-bit hash, so frequent words and contexts never meet in
     one task; their number follows spark.sql.shuffle.partitions. The tables of n-grams (kind

@@ -102,12 +102,15 @@ def mix_sources(
 
     The cut is found from token sums by the first four digits of the order key, two at a time, so
     no leaf is ever sorted as a whole, however large: only documents that share all four digits
-    with the cut are. Repeated rows count each time.
+    with the cut are. Repeated rows count each time, null ids are ids like others and are told
+    apart by their texts. Columns of documents may have any name but mix_<level>, mix_epoch,
+    mix_tokens and mix_take, which are replaced.
     """
     names = [f"mix_{x}" for x in levels]
     base = documents.drop(*names, "mix_epoch", "mix_tokens", "mix_take")
     own = {f"mix_{x}": F.coalesce(c.cast("string"), F.lit(NONE)) for x, c in levels.items()}
-    slim = base.select(F.col(id_col).alias("mix_id"), F.xxhash64(text_col).alias("mix_text"), *[c.alias(n) for n, c in own.items()], token_count(F.col(text_col)).alias("n"))
+    mark = {"mix_id": F.col(id_col), "mix_text": F.md5(F.coalesce(F.col(text_col), F.lit("")))}
+    slim = base.select(*[c.alias(n) for n, c in mark.items()], *[c.alias(n) for n, c in own.items()], token_count(F.col(text_col)).alias("n"))
     slim = materialize(slim)
     leaves = slim.groupBy(*names).agg(F.sum("n").alias("tokens")).where("tokens > 0")
     plan = leaf_budgets(leaves, names, {k: v for k, v in weights.items()}, budget, share, max_epochs)
@@ -115,7 +118,7 @@ def mix_sources(
     plan = materialize(plan.where("target > 0").select(*names, "whole", "rest"))
     few = plan.count() <= MOST_LEAVES
     join = lambda rows, leaf, keys=names: rows.join(F.broadcast(leaf) if few else leaf, keys)
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole"), F.coalesce(F.col("mix_id").cast("string"), F.lit("")))).alias("key")
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole"), F.coalesce(F.col("mix_id").cast("string"), F.lit("")), F.col("mix_text"))).alias("key")
     keyed = join(slim, plan.where("rest > 0")).select(*names, "rest", key, "n")
     one, two = F.substring("key", 1, 2), F.substring("key", 3, 2)
     fine = materialize(keyed.groupBy(*names, "rest", one.alias("d1"), two.alias("d2")).agg(F.sum("n").alias("n")))
@@ -126,16 +129,18 @@ def mix_sources(
     second = run(fine.join(first, [*names, "d1"]), names, "d2").where("upto >= left and upto - n < left")
     cut = materialize(second.select(*names, F.concat("d1", "d2").alias("cut"), (F.col("left") - F.col("upto") + F.col("n")).alias("inside")))
     leaf = materialize(plan.join(cut, names, "left"))
-    rows = base.withColumns(own | {"mix_id": F.col(id_col), "mix_text": F.xxhash64(text_col), "mix_tokens": token_count(F.col(text_col))})
+    kept = F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row")  # so that no column of documents meets one of these
+    rows = base.select(kept, *[c.alias(n) for n, c in (own | mark).items()], token_count(F.col(text_col)).alias("mix_tokens"))
     rows = join(rows, leaf).withColumn("key", key)
     digits = F.substring("key", 1, 4)
     epochs = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
     partial = F.when(digits < F.col("cut"), F.array(F.col("whole"))).otherwise(F.array().cast("array<int>"))
-    columns = [*base.columns, *names, "mix_epoch", "mix_tokens", "mix_take"]
-    full = rows.withColumn("mix_epoch", F.explode(F.concat(epochs, partial))).withColumn("mix_take", F.col("mix_tokens")).select(*columns)
-    order = W.partitionBy(*names).orderBy("key", "mix_id", "mix_text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    made = [*names, "mix_epoch", "mix_tokens", "mix_take"]
+    full = rows.withColumn("mix_epoch", F.explode(F.concat(epochs, partial))).withColumn("mix_take", F.col("mix_tokens")).select("row.*", *made)
+    order = W.partitionBy(*names).orderBy("key", "mix_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     edge = rows.where(digits == F.col("cut")).withColumn("upto", F.sum("mix_tokens").over(order))
     edge = edge.withColumn("mix_take", F.least("mix_tokens", F.col("inside") - F.col("upto") + F.col("mix_tokens"))).where("mix_take > 0")
-    shorter = F.when(F.col("mix_take") < F.col("mix_tokens"), token_prefix(F.col(text_col), F.col("mix_take"))).otherwise(F.col(text_col))
-    edge = edge.withColumns({"mix_epoch": F.col("whole"), text_col: shorter}).select(*columns)
+    text = F.col("row")[text_col]
+    shorter = F.when(F.col("mix_take") < F.col("mix_tokens"), token_prefix(text, F.col("mix_take"))).otherwise(text)
+    edge = edge.withColumn("mix_epoch", F.col("whole")).select(*[(shorter if c == text_col else F.col("row")[c]).alias(c) for c in base.columns], *made)
     return full.unionByName(edge)

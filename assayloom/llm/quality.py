@@ -19,7 +19,7 @@ class NbSvmParameters:
     """bits: log2 of the feature space. rows: most labelled rows that are learnt from."""
 
     bits: int = 20
-    rows: int = 8000
+    rows: int = 20000
     smoothing: float = 1.0
     cost: float = 1.0
     epochs: int = 15
@@ -87,15 +87,16 @@ def _margins(sets, w, ratio, bias):
 def _descend(sets, y, ratio, size, p):
     """Dual coordinate descent for the hinge loss; rows are ratio-scaled indicators of unit length, plus a constant."""
     w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(sets))
-    xs = [ratio[i] / max(np.linalg.norm(ratio[i]), 1e-12) for i in sets]
-    squares = np.array([x @ x + 1 for x in xs])
+    scale = np.array([1 / max(np.linalg.norm(ratio[i]), 1e-12) for i in sets])  # rows are scaled anew when their turn comes, which halves the memory
+    squares = np.array([(ratio[i] @ ratio[i]) * f * f + 1 for i, f in zip(sets, scale, strict=True)])
     weight = np.where(y > 0, len(y) / 2 / max((y > 0).sum(), 1), len(y) / 2 / max((y <= 0).sum(), 1)) * p.cost
     order, rng = np.arange(len(sets)), np.random.default_rng(p.seed)
     for _ in range(p.epochs):
         rng.shuffle(order)
         moved = 0.0
         for k in order:
-            i, x = sets[k], xs[k]
+            i = sets[k]
+            x = ratio[i] * scale[k]
             gradient = y[k] * (w[i] @ x + bias) - 1
             new = min(max(alpha[k] - gradient / squares[k], 0.0), weight[k])
             if new != alpha[k]:
@@ -160,7 +161,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, learn: Column, label: s
 
     def features(part):
         for batch in part:
-            for at, size in batches(batch["text"], 4 << 20):
+            for at, size in batches(batch["text"]):
                 piece = batch.slice(at, size)
                 yield pa.RecordBatch.from_pydict({"turn": piece["turn"], "doc_id": piece["doc_id"], "y": piece["y"], "features": pa.array(feature_sets(piece["text"], p.bits), pa.list_(pa.int32()))})
 
@@ -174,8 +175,10 @@ def fit_quality(documents: DataFrame, labels: DataFrame, learn: Column, label: s
 def score_quality(documents: DataFrame, model: QualityModel, score_col: str = "score") -> DataFrame:
     """All columns and rows of documents and score_col: the calibrated probability of label 1, from the whole text.
 
-    Null and empty texts have no feature; their margin is the constant alone.
+    Null and empty texts have no feature; their margin is the constant alone. A column that is
+    named score_col already is replaced; repeated rows are scored each.
     """
+    documents = documents.drop(score_col)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(part):
@@ -183,7 +186,7 @@ def score_quality(documents: DataFrame, model: QualityModel, score_col: str = "s
         w, ratio = np.zeros(1 << m.bits, np.float32), np.zeros(1 << m.bits, np.float32)
         w[m.features], ratio[m.features] = m.weights, m.ratios
         for batch in part:
-            for at, size in batches(batch["text"], 4 << 20):
+            for at, size in batches(batch["text"]):
                 piece = batch.slice(at, size)
                 margin = _margins(feature_sets(piece["text"], m.bits), w, ratio, m.bias).astype(np.float64)
                 result = 1 / (1 + np.exp(-np.clip(margin * m.slope + m.offset, -35, 35)))

@@ -73,7 +73,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return token_counts(table(spark, sf_dir, "documents"), path, pattern, fields=("text",), rule="majority")
+    return token_counts(table(spark, sf_dir, "documents"), path, pattern, fields=("source", "lang", "text"), rule="majority", separator=" ")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

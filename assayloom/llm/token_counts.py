@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RULES = ("majority", "start", "end")
+#: A section ends with the white space after a sentence's mark, or with a newline.
+SENTENCE = r"[.!?]+[\x20\x09-\x0D]+|\n"
 
 
 class RankEncoder:
@@ -54,17 +57,27 @@ def deal_tokens(token_ends: np.ndarray, section_ends: np.ndarray, rule: str) ->
 
 
 def token_counts(
-    documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", fields: tuple[str, ...] = ("text",), rule: str = "majority", piece_rows: int = 512
+    documents: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    fields: tuple[str, ...] = ("text",),
+    rule: str = "majority",
+    separator: str = "\n",
+    section_end: str = SENTENCE,
+    piece_rows: int = 512,
 ) -> DataFrame:
-    """(id_col, field, section, start_char, end_char, n_tokens, n_crossing): a row for each line of each field of each row.
+    """(id_col, field, section, start_char, end_char, n_tokens, n_crossing): a row for each section of each field of each row.
 
-    The fields of a row are joined by a newline, which belongs to the field before it, and encoded
-    as one text. A section is a line with its newline; characters are counted in the joined text.
-    Tokens may span lines or split a character; each is allotted to one section by `rule`, so a
-    row's sections add up to its tokens. n_crossing counts those that touch another section too.
+    The fields of a row are joined by the separator, which belongs to the field before it, and
+    encoded as one text. A section ends with each match of section_end (ASCII) inside a field, and
+    with the field; characters are counted in the joined text. A token may reach over sections and
+    fields (the blank before a word belongs to the sentence before it) or split a character; each
+    is allotted to one section by `rule`, so a row's sections add up to its tokens. n_crossing
+    counts those of a section that touch another one too.
 
     Null fields are empty; an empty field is one empty section. A null id is kept. Repeated rows
-    give repeated sections. Other columns are not read.
+    give repeated sections, an empty table none. Other columns are not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
@@ -76,23 +89,25 @@ def token_counts(
             for at in range(0, batch.num_rows, piece_rows):
                 yield _count_piece(batch.slice(at, piece_rows), enc)
 
+    ends_of, between = re.compile(section_end.encode()), separator.encode()
+
     def _count_piece(piece, enc):
         ids, names, sections, lows, highs, tokens, crossing = [], [], [], [], [], [], []
         columns = [[x or "" for x in piece[f"f{i}"].to_pylist()] for i in range(len(fields))]
         for own, parts in zip(piece["id"].to_pylist(), zip(*columns), strict=True):
-            text = "\n".join(parts)
+            text = separator.join(parts)
             raw = np.frombuffer(text.encode(), np.uint8)
             ends = np.cumsum(enc.lengths[np.array(enc.encoding.encode_ordinary(text), np.int64)])
             closes, field, number = [], [], []
             done = 0
             for i, part in enumerate(parts):
-                size = len(part.encode()) + (i + 1 < len(parts))
-                body = raw[done : done + len(part.encode())]
-                cuts = np.flatnonzero(body == 10) + 1 + done
-                if not len(cuts) or cuts[-1] < done + size or not size:
+                body = part.encode()
+                size = len(body) + len(between) * (i + 1 < len(parts))
+                cuts = np.array([m.end() + done for m in ends_of.finditer(body)], np.int64)
+                if not len(cuts) or cuts[-1] < done + size or not size or body.endswith(b"\n"):
                     cuts = np.append(cuts, done + size)
                 closes.append(cuts)
-                field += [fields[i]] * len(cuts)
+                field += [i] * len(cuts)
                 number += range(len(cuts))
                 done += size
             closes = np.concatenate(closes).astype(np.int64)
@@ -111,7 +126,7 @@ def token_counts(
         return pa.RecordBatch.from_pydict(
             {
                 "id": pa.array(ids, pa.int64()),
-                "field": pa.array(names, pa.string()),
+                "field": pa.array(list(fields), pa.string()).take(pa.array(names, pa.int32())),
                 "section": pa.array(sections, pa.int32()),
                 "start_char": pa.array(flat(lows)),
                 "end_char": pa.array(flat(highs)),

@@ -120,8 +120,10 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, label:
 def score_toxicity(documents: DataFrame, model: ToxicityModel, score_col: str = "score") -> DataFrame:
     """All columns and rows of documents and score_col: the probability of the label, from the whole text.
 
-    A feature counts once a text. Null and empty texts get the score of the bias alone.
+    A feature counts once a text. Null and empty texts get the score of the bias alone. A column
+    that is named score_col already is replaced; repeated rows are scored each.
     """
+    documents = documents.drop(score_col)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(part):

@@ -92,11 +92,14 @@ def mine_url_rules(labelled: DataFrame, min_support: float = 0.01, min_confidenc
 
 
 def match_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """token_sets (tokens) distinct -> (tokens, mined): the verdict of the best rule, by an index on each rule's first token.
+    """token_sets (tokens) distinct -> (tokens, mined): the verdict of the best rule, by an index on each rule's rarest token.
 
     Best is the highest confidence, then support, then more tokens, then the least verdict and tokens.
     """
-    index = rules.select(F.element_at("tokens", 1).alias("token"), F.col("tokens").alias("needs"), "verdict", "confidence", "support")
+    common = token_sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    each = rules.select(F.col("tokens").alias("needs"), "verdict", "confidence", "support", F.explode("tokens").alias("token")).join(common, "token")
+    # a rule with a token that no set has is lost here, as it fits none
+    index = each.groupBy("needs", "verdict", "confidence", "support").agg(F.min_by("token", F.struct("c", "token")).alias("token"), F.count("*").alias("there")).where(F.col("there") == F.size("needs"))
     met = token_sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("needs", "tokens")) == 0)
     rank = F.struct(-F.col("confidence"), -F.col("support"), -F.size("needs"), "verdict", "needs")
     return met.groupBy("tokens").agg(F.min_by("verdict", rank).alias("mined"), F.min(rank)["needs"].alias("needs"))

@@ -18,7 +18,11 @@ from assayloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose toxicity score is 0.7 or more; learns as query op2 does."""
+    """Without the documents whose toxicity score is 0.7 or more; learns as query op2 does.
+
+    Null and empty texts stay unless the bias alone reaches 0.7; repeated rows are judged alike.
+    Without labels every score is 0.5 and all stay.
+    """
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
     return score_toxicity(docs, model, "toxicity_score").where("toxicity_score < 0.7").select(*docs.columns)
 
@@ -26,7 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of texts linked at Jaccard 0.8 of 5-word shingles.
 
-    Empty texts and null ids are no duplicates of anything. Of rows that repeat an id one stays.
+    Empty texts and null ids are no duplicates of anything. Of rows that repeat an id, the one whose
+    columns come first in order, text before the others, stays.
     """
     groups = materialize(jaccard_components(docs, words_each=5, percent=80))
     gone = groups.where("doc_id != component_id").select("doc_id").distinct()
@@ -34,7 +39,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return left
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    order = ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    first = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*order)).alias("row")).select("doc_id", "row.*")
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +50,11 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of domains, languages and sources, as many words as came in, in two epochs at most."""
+    """The mixture of domains, languages and sources, as many words as came in, in two epochs at most.
+
+    Null languages and sources are branches of their own; texts without words come with those
+    around them. A document taken in both epochs comes twice.
+    """
     taken = mix_sources(docs, mix_levels(), MIX_WEIGHTS, share=1.0, max_epochs=2)
     return taken.withColumn("n_chars", F.when(F.col("mix_take") < F.col("mix_tokens"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
