@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most bytes of an Arrow batch between JVM and Python.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(frame: DataFrame) -> DataFrame:
+    """frame, whose session from now on sends Arrow batches of at most BATCH_BYTES: texts differ in length, and rows alone bound no memory."""
+    conf, name = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(name))) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return frame
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, seed: int) -> DataFrame:
     """(doc_id, text, y, turn): texts of at most `rows` labelled ids for which `learn` holds, drawn by a seeded hash.
 

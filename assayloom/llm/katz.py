@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, chain, materialize, mix
+from .common import Words, batches, bounded_batches, chain, materialize, mix
 
 #: The hash of the sign that begins and ends a text; it is no word's.
 END = np.uint64(0xA0761D6478BD642F)
@@ -284,7 +284,7 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 2, id_col: st
     """
     spark = documents.sparkSession
     bits = max(6, math.ceil(math.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
+    texts = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
     asked = texts.mapInArrow(lambda part: _requests(part, order, bits, block_bytes), REQUEST)
     counted = materialize(asked.groupBy("m", "bucket").applyInArrow(_count, COUNTED), "lz4")
     stats = counted.where("kind = 'table'").select("m", F.posexplode("stats").alias("k", "x")).groupBy("m", "k").agg(F.sum("x").alias("x")).collect()  # CUTOFF + 3 numbers an order

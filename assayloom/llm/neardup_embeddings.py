@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chain, materialize
+from .common import bounded_batches, chain, materialize
 from .components import connected_components
 
 
@@ -135,7 +135,7 @@ def near_duplicate_vectors(
     but not their vector, each have their own links. Extra columns are left alone.
     """
     width, least = window_width(least_cosine, widen), needed_collisions(projections, widen, recall)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(block_col).alias("block"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = bounded_batches(vectors).select(F.col(id_col).cast("long").alias("id"), F.col(block_col).alias("block"), F.col(vector_col).cast("array<double>").alias("vector"))
     x = F.col("vector")
     usable = (
         F.col("id").isNotNull()

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, chain, materialize, mix
+from .common import Words, batches, bounded_batches, chain, materialize, mix
 from .components import connected_components
 
 PAD = np.uint64(0x5851F42D4C957F2D)
@@ -234,7 +234,7 @@ def jaccard_components(
     Null and empty texts have 0 shingles and link with nothing. A null id has a null component.
     Rows that share an id are one node of the graph. Shingles are compared by 64-bit hashes.
     """
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = texts.sparkSession.sparkContext.broadcast(shingle_sketch(texts, words_each, sketch_bits))
     signed = materialize(_signatures(texts, sketch, words_each, percent, sketch_bits))
     slim = signed.where("n > 0 and id is not null").select("id", "n", "digest", "grp")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP, Words, batches, chain, labelled_sample, mix, string_hashes
+from .common import STEP, Words, batches, bounded_batches, chain, labelled_sample, mix, string_hashes
 
 
 @dataclass(frozen=True)
@@ -165,7 +165,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, learn: Column, label: s
                 piece = batch.slice(at, size)
                 yield pa.RecordBatch.from_pydict({"turn": piece["turn"], "doc_id": piece["doc_id"], "y": piece["y"], "features": pa.array(feature_sets(piece["text"], p.bits), pa.list_(pa.int32()))})
 
-    made = sample.select("turn", F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(features, "turn long, doc_id long, y int, features array<int>")
+    made = bounded_batches(sample).select("turn", F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(features, "turn long, doc_id long, y int, features array<int>")
     got = made.repartition(1).sortWithinPartitions("turn", "doc_id", "features").mapInArrow(lambda part: _train(part, p), "feature int, weight float, ratio float").toArrow()
     f, w, r = (got[c].to_numpy() for c in ("feature", "weight", "ratio"))
     bias, slope, offset = (float(w[f == -k].sum()) for k in (1, 2, 3))
@@ -178,7 +178,7 @@ def score_quality(documents: DataFrame, model: QualityModel, score_col: str = "s
     Null and empty texts have no feature; their margin is the constant alone. A column that is
     named score_col already is replaced; repeated rows are scored each.
     """
-    documents = documents.drop(score_col)
+    documents = bounded_batches(documents.drop(score_col))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(part):

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 RULES = ("majority", "start", "end")
 #: A section ends with the white space after a sentence's mark, or with a newline.
 SENTENCE = r"[.!?]+[\x20\x09-\x0D]+|\n"
@@ -135,5 +137,5 @@ def token_counts(
             }
         )
 
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
+    rows = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
     return rows.mapInArrow(count, schema).withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, mix, scratch_dir
+from .common import batches, bounded_batches, mix, scratch_dir
 from .encoding import encoder
 
 WINDOW = 16
@@ -102,7 +102,7 @@ def write_token_store(documents: DataFrame, path: str, tokenizer_path: str, end_
     Tasks drop chunks that they have seen before anything is shuffled, so a chunk shared by many
     documents crosses the network once a task at most.
     """
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = encoder(tokenizer_path).tokenizer.get_vocab_size()
     kind = np.dtype("<u2") if max(size, (end_id or 0) + 1) <= 65536 else np.dtype("<u4")
     end = np.zeros(0, kind) if end_id is None else np.array([end_id], kind)

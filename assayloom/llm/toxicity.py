@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP, Words, batches, chain, labelled_sample, mix, string_hashes
+from .common import STEP, Words, batches, bounded_batches, chain, labelled_sample, materialize, mix, string_hashes
 
 #: Characters that are cut from both ends of a word.
 EDGES = " .,;:!?¡¿()[]{}<>\"'`´“”„«»…*#&%$|_-–—/\\"
+#: The sample's rows are dealt to so many tasks, each of which counts features in a table of 2 ** bits 16-bit numbers.
+SHARES = 16
 #: Lengths of stems in characters.
 STEMS = (4, 6)
 
@@ -89,8 +91,9 @@ class ToxicityModel:
 def fit_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", parameters: FtrlParameters | None = None) -> ToxicityModel:
     """Learn from at most parameters.rows labelled documents; only their sorted feature numbers meet in one task.
 
-    The L1 term leaves few weights (2 ** bits at the very most), so the model is small enough for
-    the driver and a broadcast. With no labelled row the bias is 0: every score is 0.5.
+    Features that are too rare in the sample to ever pass the L1 term are counted and left out
+    first, which changes nothing and spares memory. The L1 term leaves few weights (2 ** bits at the
+    very most), so the model is small enough for the driver and a broadcast. With no labelled row the bias is 0: every score is 0.5.
     """
     p = parameters or FtrlParameters()
     sample = labelled_sample(documents, labels, label, learn, p.rows, p.seed)
@@ -111,8 +114,28 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, label:
                     }
                 )
 
-    made = sample.select("turn", F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(features, "turn long, doc_id long, y int, features array<int>")
-    got = made.repartition(1).sortWithinPartitions("turn", "doc_id", "features").mapInArrow(lambda part: _train(part, p), "feature int, weight double").toArrow()
+    schema = "turn long, doc_id long, y int, features array<int>"
+    texts = bounded_batches(sample).select("turn", F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
+    made = materialize(texts.mapInArrow(features, schema).repartition(SHARES, "turn"))
+
+    def count(part):
+        total = np.zeros(1 << p.bits, np.int32)
+        for batch in part:
+            total += np.bincount(batch["features"].flatten().to_numpy(), minlength=1 << p.bits).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+
+    # a row moves z by less than 1 an epoch while the weight is 0, so rarer features never pass l1
+    seen = sum((np.frombuffer(x, np.uint16).astype(np.int32) for x in made.select("features").mapInArrow(count, "counts binary").toArrow()["counts"].to_pylist()), np.zeros(1 << p.bits, np.int32))
+    often = documents.sparkSession.sparkContext.broadcast(seen * p.epochs > p.l1)
+
+    def prune(part):
+        for batch in part:
+            lists = batch["features"]
+            flat, keep = lists.flatten().to_numpy(), often.value[lists.flatten().to_numpy()]
+            ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
+            yield pa.RecordBatch.from_arrays([batch["turn"], batch["doc_id"], batch["y"], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[keep]))], batch.schema.names)
+
+    got = made.mapInArrow(prune, schema).repartition(1).sortWithinPartitions("turn", "doc_id", "features").mapInArrow(lambda part: _train(part, p), "feature int, weight double").toArrow()
     f, w = got["feature"].to_numpy(), got["weight"].to_numpy()
     return ToxicityModel(p.bits, float(w[f < 0].sum()), f[f >= 0], w[f >= 0])
 
@@ -123,7 +146,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, score_col: str =
     A feature counts once a text. Null and empty texts get the score of the bias alone. A column
     that is named score_col already is replaced; repeated rows are scored each.
     """
-    documents = documents.drop(score_col)
+    documents = bounded_batches(documents.drop(score_col))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(part):
