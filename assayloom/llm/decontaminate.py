@@ -101,7 +101,8 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, percent: int = 80
         marks = fingerprints(distinct, ["size", "w"], "window").select("size", "w", "fp", F.inline(block_values(F.col("fp"))))
         index = fingerprints(some, ["item", "size"], "shingles").select("item", "size", F.col("fp").alias("item_fp"), F.inline(block_values(F.col("fp"))))
         index = index.withColumn("mask", F.explode(near_values())).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
-        close = marks.join(index, ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+        # the index is larger than Spark takes it for and grows with the benchmark, so it is never broadcast
+        close = marks.join(index.hint("merge"), ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
         pairs = materialize(close.select("size", "w", "item").distinct())
         counts = lambda t, keys, col: t.select(*keys, F.explode(col).alias("h")).groupBy(*keys, "h").agg(F.count("*").alias("c"))
         mine = counts(distinct.join(pairs.select("size", "w").distinct(), ["size", "w"], "left_semi"), ["size", "w"], "window")

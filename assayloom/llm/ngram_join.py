@@ -199,9 +199,12 @@ def verified_links(pairs: DataFrame, texts: DataFrame, words_each: int, percent:
     def compare(part):
         unzip = zstandard.ZstdDecompressor()
         for batch in part:
-            keep, step = [], 256
-            for at in range(0, batch.num_rows, step):
-                piece = batch.slice(at, step)
+            keep = []
+            size = np.cumsum([0, *(zstandard.frame_content_size(x) + zstandard.frame_content_size(y) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True))])
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(size, size[at] + (1 << 20), side="right")) - 1)
+                piece, at = batch.slice(at, stop - at), stop
                 both = [shingle_sets(pa.array([unzip.decompress(x).decode() for x in piece[c].to_pylist()], pa.string()), words_each) for c in ("x", "y")]
                 for x, y in zip(*both, strict=True):
                     every = np.sort(np.concatenate([x, y]))
