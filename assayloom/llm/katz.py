@@ -24,7 +24,7 @@ SLIVER = 1e-3
 def pack(numbers: np.ndarray) -> bytes:
     """Compressed little-endian numbers, byte by byte place."""
     wide = np.ascontiguousarray(numbers)
-    return zstandard.ZstdCompressor(level=1).compress(wide.view(np.uint8).reshape(len(wide), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(wide.view(np.uint8).reshape(len(wide), wide.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
