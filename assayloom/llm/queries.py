@@ -12,6 +12,7 @@ from .katz import katz_scores
 from .mixing import mix_sources
 from .neardup_embeddings import near_duplicate_vectors
 from .ngram_join import jaccard_components
+from .oracle import ORACLE_SQL  # noqa: F401
 from .quality import fit_quality, score_quality
 from .token_counts import token_counts
 from .token_store import token_digests
@@ -92,5 +93,3 @@ def _judged(scored: DataFrame, held_out) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_url_rules, op4_source_mixing, op5_decontamination, op6_token_store, op7_ngram_jaccard, op8_token_counts, op9_quality, op10_katz)}
-
-ORACLE_SQL: dict[str, str] = {}
