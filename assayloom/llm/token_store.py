@@ -91,7 +91,7 @@ def crc_moved(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 RECIPE = "id long, row long, local_start long, n_tokens long, width int, lengths array<int>, digests array<binary>, root binary"
 
 
-def write_token_store(documents: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_store(documents: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 20) -> None:
     """Encode every whole text and write the store below path.
 
     chunks/   digest, ids: each distinct chunk once, ids little-endian, 16 bits wide if the vocabulary allows, else 32.
@@ -100,7 +100,8 @@ def write_token_store(documents: DataFrame, path: str, tokenizer_path: str, end_
 
     Null and empty texts have the end id alone, or nothing. Repeated ids keep all their rows.
     Tasks drop chunks that they have seen before anything is shuffled, so a chunk shared by many
-    documents crosses the network once a task at most.
+    documents crosses the network once a task at most. A task encodes block_bytes of text at once
+    (or one text), each distinct word of it once: larger blocks take less time and more memory.
     """
     texts = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = encoder(tokenizer_path).tokenizer.get_vocab_size()
@@ -110,7 +111,7 @@ def write_token_store(documents: DataFrame, path: str, tokenizer_path: str, end_
     def encode(part):
         enc, seen = encoder(tokenizer_path), set()
         for batch in part:
-            for at, count in batches(batch["text"]):
+            for at, count in batches(batch["text"], block_bytes):
                 piece = batch.slice(at, count)
                 ids, starts = enc.texts(piece["text"])
                 ids = np.insert(ids.astype(kind), np.repeat(starts[1:], len(end)), np.tile(end, count))
@@ -285,9 +286,13 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     return met.mapInArrow(spell, "id long, part int, row long, ids array<int>")
 
 
-def token_digests(documents: DataFrame, tokenizer_path: str, end_id: int | None = 1) -> DataFrame:
-    """Write documents to a store in the shared scratch folder and read their digests back."""
+def token_digests(documents: DataFrame, tokenizer_path: str, end_id: int | None = 1, block_bytes: int = 1 << 20) -> DataFrame:
+    """Write documents to a store in the shared scratch folder and read their digests back.
+
+    (id, start, n_tokens, ids_crc32) for every row, repeats included; an empty table gives none, null
+    ids come first, null and empty texts have the end id alone. Only doc_id and text are read.
+    """
     spark = documents.sparkSession
     path = scratch_dir(spark)
-    write_token_store(documents, path, tokenizer_path, end_id)
+    write_token_store(documents, path, tokenizer_path, end_id, block_bytes=block_bytes)
     return read_token_digests(spark, path)
