@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, bounded_batches, chain, materialize, mix
+from .common import Words, batches, bounded_batches, chain, materialize, mix, string_hashes
 
 #: The hash of the sign that begins and ends a text; it is no word's.
 END = np.uint64(0xA0761D6478BD642F)
@@ -85,25 +85,35 @@ class Sequences:
         return np.flatnonzero(self.place >= max(m - 1, 1))
 
 
+TEXT = "block long, ids array<long>, learns binary, vocabulary binary, words binary, lengths array<long>"
+
+
 def _blocks(part, most_bytes):
-    """(block, ids, learns, vocabulary hashes, word places, lengths) of each block of texts; block names the content, equal blocks share a name."""
+    """Texts as rows of TEXT: vocabulary as hashes, words as places in it, lengths in words; block numbers the rows of all partitions."""
+    block = TaskContext.get().partitionId() << 33
     for batch in part:
         for at, size in batches(batch["text"], most_bytes):
             piece = batch.slice(at, size)
             words = Words(piece["text"])
-            vocabulary = mix(_word_hashes(words.vocabulary))
-            ids = piece["id"].to_pylist()
-            name = hashlib.blake2b(repr(ids).encode(), digest_size=8)
-            name.update(piece["learns"].to_numpy(zero_copy_only=False).tobytes())
-            name.update(words.counts.tobytes())
-            name.update(words.hashes().tobytes() if len(words.ids) else b"")
-            yield int.from_bytes(name.digest(), "little", signed=True), ids, piece["learns"].to_numpy(zero_copy_only=False), vocabulary, words.ids, words.counts
-
+            learns = piece["learns"].to_numpy(zero_copy_only=False).astype(bool)
+            columns = {
+                "block": pa.array([block], pa.int64()),
+                "ids": pa.array([piece["id"].to_pylist()], pa.list_(pa.int64())),
+                "learns": pa.array([np.packbits(learns).tobytes()], pa.binary()),
+                "vocabulary": pa.array([mix(string_hashes(words.vocabulary)).tobytes()], pa.binary()),
+                "words": pa.array([pack(words.ids.astype(np.uint32))], pa.binary()),
+                "lengths": pa.array([words.counts], pa.list_(pa.int64())),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+            block += 1
 
-def _word_hashes(words):
-    from .common import string_hashes
 
-    return string_hashes(words)
+def _block_texts(texts: pa.Table | pa.RecordBatch, row: int = 0):
+    """(ids, learns, Sequences) of one row of TEXT."""
+    value = lambda c: texts[c][row].as_py()
+    ids, lengths = value("ids"), np.array(value("lengths"), np.int64)
+    learns = np.unpackbits(np.frombuffer(value("learns"), np.uint8), count=len(ids)).astype(bool)
+    return ids, learns, Sequences(np.frombuffer(value("vocabulary"), np.uint64), unpack(value("words"), np.uint32).astype(np.int64), lengths)
 
 
 REQUEST = "m int, bucket int, block long, grams binary, times binary"
@@ -121,19 +131,22 @@ def _bucket_slices(keys: np.ndarray, bits: int):
     return [(b, slice(cuts[b], cuts[b + 1])) for b in range(1 << bits) if cuts[b + 1] > cuts[b]]
 
 
-def _requests(part, order, bits, most_bytes):
+def _requests(part, order, bits):
     """Each block's distinct n-grams with their counts in its learning texts (0 for others)."""
-    for block, _, learns, vocabulary, ids, lengths in _blocks(part, most_bytes):
-        seq = Sequences(vocabulary, ids, lengths)
-        grams = seq.grams(order)
-        rows = []
-        for m in range(1, order + 1):
-            at = seq.held(m)
-            keys, inverse = np.unique(grams[m - 1][at], return_inverse=True)
-            times = np.bincount(inverse, learns[seq.doc[at]], len(keys)).astype(np.uint32)
-            rows += [(m, b, block, pack_sorted(keys[s]), pack(times[s])) for b, s in _bucket_slices(keys, bits)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["m", "bucket", "block", "grams", "times"])
+    for batch in part:
+        for row in range(batch.num_rows):
+            block = batch["block"][row].as_py()
+            _, learns, seq = _block_texts(batch, row)
+            grams = seq.grams(order)
+            rows = []
+            for m in range(1, order + 1):
+                at = seq.held(m)
+                keys, inverse = np.unique(grams[m - 1][at], return_inverse=True)
+                times = np.bincount(inverse, learns[seq.doc[at]], len(keys)).astype(np.uint32)
+                rows += [(m, b, block, pack_sorted(keys[s]), pack(times[s])) for b, s in _bucket_slices(keys, bits)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["m", "bucket", "block", "grams", "times"])
+        pa.default_memory_pool().release_unused()
 
 
 def _count(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
@@ -164,23 +177,6 @@ def _count(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
     )
 
 
-def _texts_of_blocks(part, most_bytes):
-    for block, ids, learns, vocabulary, words, lengths in _blocks(part, most_bytes):
-        yield pa.RecordBatch.from_pydict(
-            {
-                "block": pa.array([block], pa.int64()),
-                "ids": pa.array([ids], pa.list_(pa.int64())),
-                "learns": pa.array([np.packbits(learns).tobytes()], pa.binary()),
-                "vocabulary": pa.array([vocabulary.tobytes()], pa.binary()),
-                "words": pa.array([pack(words.astype(np.uint32))], pa.binary()),
-                "lengths": pa.array([lengths], pa.list_(pa.int64())),
-            }
-        )
-
-
-TEXT = "block long, ids array<long>, learns binary, vocabulary binary, words binary, lengths array<long>"
-
-
 def _score_block(texts: pa.Table, replies: pa.Table, order: int, discounts: list[np.ndarray], n_all: int, v_all: int) -> pa.Table:
     """Scores of one block's texts from the totals of its n-grams, and its share of the context sums.
 
@@ -189,14 +185,11 @@ def _score_block(texts: pa.Table, replies: pa.Table, order: int, discounts: list
     discounted counts and the lower-order probabilities, each n-gram once in the whole corpus.
     """
     block = texts["block"][0].as_py()
-    ids, lengths = texts["ids"][0].as_py(), np.array(texts["lengths"][0].as_py(), np.int64)
-    learns = np.unpackbits(np.frombuffer(texts["learns"][0].as_py(), np.uint8), count=len(ids)).astype(bool)
-    seq = Sequences(np.frombuffer(texts["vocabulary"][0].as_py(), np.uint64), unpack(texts["words"][0].as_py(), np.uint32).astype(np.int64), lengths)
+    ids, learns, seq = _block_texts(texts)
     grams = seq.grams(order)
     wanted: dict[int, dict[int, tuple[bytes, np.ndarray]]] = {m: {} for m in range(1, order + 1)}
     for m, b, times, own in zip(*(replies[c].to_pylist() for c in ("m", "bucket", "times", "own")), strict=True):
-        bits = np.frombuffer(own, np.uint8)  # blocks of one name get the same totals, and one of them owns
-        wanted[m][b] = (times, bits | wanted[m][b][1] if b in wanted[m] else bits)
+        wanted[m][b] = (times, np.frombuffer(own, np.uint8))
     n = len(seq.doc)
     count, owned = [np.zeros(n, np.int64) for _ in range(order)], [np.zeros(n, bool) for _ in range(order)]
     for m in range(1, order + 1):
@@ -206,11 +199,11 @@ def _score_block(texts: pa.Table, replies: pa.Table, order: int, discounts: list
         total = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in got)])
         own = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(o, count=len(t)) for t, o in got)]).astype(bool)
         if len(total) != len(keys):
-            raise RuntimeError("a block of texts came out otherwise than when it was counted; run again")
+            raise RuntimeError("a block lacks the totals of some of its n-grams")
         count[m - 1][at] = total[inverse]
         owned[m - 1][at[first[own]]] = True
         if m == 1:  # the first sign of a text is context alone and has the count of END
-            count[0][seq.begin] = count[0][seq.begin + lengths + 1]
+            count[0][seq.begin] = count[0][np.append(seq.begin[1:], n) - 1]
     with np.errstate(divide="ignore", invalid="ignore"):
         kept = sum(r * discounts[0][r] * n_r for r, n_r in enumerate(discounts[-1][:CUTOFF], 1)) if n_all else 0.0
         few, few_types = sum(r * n_r for r, n_r in enumerate(discounts[-1][:CUTOFF], 1)), sum(discounts[-1][:CUTOFF])
@@ -246,7 +239,7 @@ def _score_block(texts: pa.Table, replies: pa.Table, order: int, discounts: list
             "n_tokens": np.bincount(doc, minlength=rows), "n_known": np.bincount(doc, known, rows).astype(np.int64),
             "base_score": np.bincount(doc, base, rows), "part_score": np.bincount(doc, level, rows),
         }
-    ] * len(texts)
+    ]
     tables += [{"kind": ["back"] * len(r), "row": r, "m": np.full(len(r), m), "context": c, "times": t} for m, r, c, t in backs]
     for m in range(2, order + 1):
         at = np.flatnonzero(owned[m - 1])
@@ -271,7 +264,8 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 2, id_col: st
     A text begins after the closing sign. Words that the learnt texts lack share the mass that
     Good-Turing takes from the single words.
 
-    Each block of texts (6 MB) sends its distinct n-grams once to the buckets that count them and
+    Blocks of texts (6 MB) are written once as hashes and read twice, so both readings see the same
+    texts whatever order the input comes in. Each block sends its distinct n-grams once to the buckets that count them and
     gets totals back in the order it asked, so what moves is a few bytes for each distinct n-gram
     of a block. Buckets are ranges of a 64-bit hash, so frequent words and contexts never meet in
     one task; their number follows spark.sql.shuffle.partitions. The tables of n-grams (kind
@@ -285,7 +279,8 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 2, id_col: st
     spark = documents.sparkSession
     bits = max(6, math.ceil(math.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     texts = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
-    asked = texts.mapInArrow(lambda part: _requests(part, order, bits, block_bytes), REQUEST)
+    blocks = materialize(texts.mapInArrow(lambda part: _blocks(part, block_bytes), TEXT), "lz4")
+    asked = blocks.mapInArrow(lambda part: _requests(part, order, bits), REQUEST)
     counted = materialize(asked.groupBy("m", "bucket").applyInArrow(_count, COUNTED), "lz4")
     stats = counted.where("kind = 'table'").select("m", F.posexplode("stats").alias("k", "x")).groupBy("m", "k").agg(F.sum("x").alias("x")).collect()  # CUTOFF + 3 numbers an order
     by = {(r.m, r.k): r.x for r in stats}
@@ -296,7 +291,6 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 2, id_col: st
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         return _score_block(left, right, order, discounts, n_all, v_all)
 
-    blocks = texts.mapInArrow(lambda part: _texts_of_blocks(part, block_bytes), TEXT)
     replies = counted.where("kind = 'reply'").select("block", "m", "bucket", "times", "own")
     scored = materialize(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, SCORED))
     sums = scored.where("kind = 'context'").groupBy("m", "context").agg(F.sum("taken").alias("taken"), F.sum("lower").alias("lower"), F.max("total").alias("total"))
