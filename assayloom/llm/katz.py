@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -88,24 +89,38 @@ class Sequences:
 TEXT = "block long, ids array<long>, learns binary, vocabulary binary, words binary, lengths array<long>"
 
 
+def _filled(part, most_bytes):
+    """The rows of part in batches that each hold about most_bytes of text, whatever batches they came in."""
+    held, size = [], 0
+    for batch in part:
+        for at, rows in batches(batch["text"], max(1, most_bytes // 6)):
+            piece = batch.slice(at, rows)
+            more = pc.sum(pc.binary_length(piece["text"])).as_py() or 0
+            if held and size + more > most_bytes:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(piece)
+            size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _blocks(part, most_bytes):
     """Texts as rows of TEXT: vocabulary as hashes, words as places in it, lengths in words; block numbers the rows of all partitions."""
     block = TaskContext.get().partitionId() << 33
-    for batch in part:
-        for at, size in batches(batch["text"], most_bytes):
-            piece = batch.slice(at, size)
-            words = Words(piece["text"])
-            learns = piece["learns"].to_numpy(zero_copy_only=False).astype(bool)
-            columns = {
-                "block": pa.array([block], pa.int64()),
-                "ids": pa.array([piece["id"].to_pylist()], pa.list_(pa.int64())),
-                "learns": pa.array([np.packbits(learns).tobytes()], pa.binary()),
-                "vocabulary": pa.array([mix(string_hashes(words.vocabulary)).tobytes()], pa.binary()),
-                "words": pa.array([pack(words.ids.astype(np.uint32))], pa.binary()),
-                "lengths": pa.array([words.counts], pa.list_(pa.int64())),
-            }
-            yield pa.RecordBatch.from_pydict(columns)
-            block += 1
+    for piece in _filled(part, most_bytes):
+        words = Words(piece["text"])
+        learns = piece["learns"].to_numpy(zero_copy_only=False).astype(bool)
+        columns = {
+            "block": pa.array([block], pa.int64()),
+            "ids": pa.array([piece["id"].to_pylist()], pa.list_(pa.int64())),
+            "learns": pa.array([np.packbits(learns).tobytes()], pa.binary()),
+            "vocabulary": pa.array([mix(string_hashes(words.vocabulary)).tobytes()], pa.binary()),
+            "words": pa.array([pack(words.ids.astype(np.uint32))], pa.binary()),
+            "lengths": pa.array([words.counts], pa.list_(pa.int64())),
+        }
+        yield pa.RecordBatch.from_pydict(columns)
+        block += 1
 
 
 def _block_texts(texts: pa.Table | pa.RecordBatch, row: int = 0):
