@@ -1,4 +1,6 @@
-"""DuckDB SQL of the numbered queries that SQL can express: op1, op4, op5 and op7, by their definitions, without any index."""
+"""DuckDB SQL of the numbered queries that SQL can express, by their definitions, without any index."""
+
+from .licences import ANCHORS, NOTICES, exact_phrase
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -134,4 +136,137 @@ WITH RECURSIVE texts AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM classes LEFT JOIN sizes USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_embedding_near_dedup": OP1, "op4_source_mixing": OP4, "op5_decontamination": OP5, "op7_ngram_jaccard": OP7}
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+# crc32 of a value's text by its definition, bit by bit
+_BITS = "list_reduce(range(8), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END, xor(c, b))"
+_CRC = "xor(list_reduce(list_transform(string_split(CAST({of} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: " + _BITS + ", CAST(4294967295 AS BIGINT)), 4294967295)"
+
+# the levels of a tree as lists of digests, and the siblings of node i (from 0) in each
+_NEXT = "list_transform(range(0, len(nodes), 2), lambda k: sha256(nodes[k + 1] || coalesce(nodes[k + 2], '')))"
+_BESIDE = "list_transform(range(0, len(levels) - 1), lambda k: levels[k + 1][xor(CAST({i} AS BIGINT) >> k, 1) + 1])"
+
+OP11 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("n_chars")} AS leaf,
+    CASE WHEN doc_crc % 7 = 0 AND n_chars IS NOT NULL THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS tampered
+  FROM (SELECT documents.*, {_CRC.format(of="doc_id")} AS doc_crc FROM documents)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d
+), step AS (
+  SELECT tree, 0 AS level, list(leaf ORDER BY i) AS nodes FROM placed GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, {_NEXT} FROM step WHERE len(nodes) > 1
+), trees AS (
+  SELECT tree, list(nodes ORDER BY level) AS levels, list(nodes ORDER BY level)[-1][1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM step GROUP BY tree
+), top_step AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM trees
+  UNION ALL
+  SELECT level + 1, {_NEXT} FROM top_step WHERE len(nodes) > 1
+), top AS (
+  SELECT list(nodes ORDER BY level) AS levels, list(nodes ORDER BY level)[-1][1] AS root FROM top_step
+), ways AS (
+  SELECT row_number() OVER () AS id, doc_id, leaf, tampered, i, place, subroot, {_BESIDE.format(i="i")} AS own, levels FROM placed JOIN trees USING (tree)
+), whole AS (
+  SELECT w.*, root, list_transform(own, lambda x, k: struct_pack(digest := x, before := CAST(i AS BIGINT) >> (k - 1) & 1)) || list_transform(above, lambda x, k: struct_pack(digest := x, before := CAST(place AS BIGINT) >> (k - 1) & 1)) AS way
+  FROM ways w, LATERAL (SELECT root, {_BESIDE.format(i="w.place").replace("levels", "top.levels")} AS above FROM top)
+), fold AS (
+  SELECT id, 1 AS k, way, tampered AS digest FROM whole
+  UNION ALL
+  SELECT id, k + 1, way, sha256(CASE WHEN way[k].before = 1 THEN way[k].digest || digest ELSE digest || coalesce(way[k].digest, '') END) FROM fold WHERE k <= len(way)
+), ends AS (
+  SELECT id, digest AS folded_root FROM fold WHERE k = len(way) + 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(way, lambda s: s.digest), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM whole JOIN ends USING (id)
+"""
+
+
+_PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def licences(templates: list) -> str:
+    """The labels by the definition: every word's places, every anchor's, every window's."""
+    rows = ", ".join(f"({t}, '{x.label}', {x.base}, {x.slack}, {_list(x.words.split(' '))}, {_list(x.phrases)})" for t, x in enumerate(templates))
+    return rf"""
+WITH template(t, label, base, slack, twords, phrases) AS (VALUES {rows}
+), d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_PLAIN}') AS words FROM documents
+), word AS (
+  SELECT id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM d
+), tword AS (
+  SELECT t, slack, word, min(tpos) AS tpos FROM (SELECT t, slack, unnest(twords) AS word, generate_subscripts(twords, 1) - 1 AS tpos FROM template) GROUP BY ALL
+), df AS (
+  SELECT word, count(DISTINCT id) AS df FROM word GROUP BY word
+), weighed AS (
+  SELECT t, slack, word, tpos, CAST(floor(1000 * ln(((SELECT count(*) FROM d) + 1) / (coalesce(df, 0) + 1))) AS BIGINT) + 1 AS weight FROM tword LEFT JOIN df USING (word)
+), anchor AS (
+  SELECT *, sum(weight) OVER (PARTITION BY t) AS total
+  FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY weight DESC, tpos) AS rank FROM weighed) WHERE rank <= CASE WHEN slack = 0 THEN 1 ELSE {ANCHORS} END
+), proposed AS (
+  SELECT DISTINCT id, t, i - tpos AS start FROM word JOIN anchor USING (word)
+), found AS (
+  SELECT id, t, start, total, sum(weight) AS found FROM (
+    SELECT DISTINCT p.id, p.t, p.start, a.word, a.weight, a.total FROM proposed p JOIN anchor a USING (t)
+    JOIN word w ON w.id = p.id AND w.word = a.word AND w.i BETWEEN p.start + a.tpos - a.slack AND p.start + a.tpos + a.slack
+  ) GROUP BY ALL
+), place AS (
+  SELECT id, start, label, base, found / total AS share FROM found JOIN template USING (t) JOIN d USING (id)
+  WHERE 2 * found >= total AND len(list_filter(phrases, lambda p: NOT contains(' ' || array_to_string(words[greatest(start - slack, 0) + 1 : start + len(twords) + slack], ' ') || ' ', ' ' || p || ' '))) = 0
+), labelled AS (
+  SELECT id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM place GROUP BY id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN labelled USING (id)
+"""
+
+
+OP12 = licences([exact_phrase("cc by", "cc-by"), exact_phrase("general public license", "gpl"), exact_phrase("all rights reserved", "reserved"), *NOTICES])
+
+# one assignment of every part to the nearest entry, and the floored means that follow
+_ASSIGN = """
+a{k} AS (
+  SELECT vec_id, p, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (
+    SELECT vec_id, part.p, c.e, list_sum(list_transform(list_zip(part.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM part JOIN c{k} c USING (p)
+  ) GROUP BY vec_id, p
+)"""
+_MEANS = """
+m{k} AS (
+  SELECT p, e, i, CAST(floor(sum(x)) AS HUGEINT) AS total, count(*) AS n FROM (SELECT a.p, a.e, unnest(part.q) AS x, generate_subscripts(part.q, 1) AS i FROM a{k} a JOIN part USING (vec_id, p)) GROUP BY ALL
+), n{k} AS (
+  SELECT p, e, list((total - ((total % n) + n) % n) // n ORDER BY i) AS q FROM m{k} GROUP BY p, e
+), c{next} AS (
+  SELECT p, e, coalesce(n.q, c.q) AS q FROM c{k} c LEFT JOIN n{k} n USING (p, e)
+)"""
+
+OP13 = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS (
+  SELECT vec_id, p, q[p * len(q) // 16 + 1 : (p + 1) * len(q) // 16] AS q FROM kept, range(16) r(p)
+), c0 AS (
+  SELECT p, rank() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, q FROM part WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)
+), {_ASSIGN.format(k=0)}, {_MEANS.format(k=0, next=1)}, {_ASSIGN.format(k=1)}, {_MEANS.format(k=1, next=2)}, {_ASSIGN.format(k=2)}
+, coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a2 JOIN kept USING (vec_id) GROUP BY vec_id, label
+), books AS (
+  SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books
+"""
+
+ORACLE_SQL = {
+    "op1_embedding_near_dedup": OP1, "op4_source_mixing": OP4, "op5_decontamination": OP5, "op7_ngram_jaccard": OP7,
+    "op11_merkle_manifest": OP11, "op12_licence_scan": OP12, "op13_vector_codes": OP13,
+}

@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, materialize, table
 from .decontaminate import contamination
 from .katz import katz_scores
+from .licences import NOTICES, exact_phrase, licence_labels
+from .merkle import digest_of, folded, merkle_manifest, proof_digest
 from .mixing import mix_sources
 from .neardup_embeddings import near_duplicate_vectors
 from .ngram_join import jaccard_components
@@ -18,6 +20,7 @@ from .token_counts import token_counts
 from .token_store import token_digests
 from .toxicity import fit_toxicity, score_toxicity
 from .url_rules import UrlRule, judge_urls
+from .vector_codes import digest_codebooks, label_errors, product_codes
 
 URL_RULES = [
     UrlRule("org", "/", "allow"),
@@ -88,8 +91,32 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(table(spark, sf_dir, "documents"), turn != 0, order=2).withColumn("held_out", F.coalesce(turn == 0, F.lit(False)))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    hashed = lambda n_chars: digest_of([F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")])
+    altered = F.when((crc_mod("doc_id", 7) == 0) & F.col("n_chars").isNotNull(), hashed(F.col("n_chars").cast("decimal(20,0)") + 1))
+    leaves = documents.select("doc_id", "lang", hashed(F.col("n_chars")).alias("leaf"), altered.alias("altered"))
+    proved = merkle_manifest(leaves, "lang", ["doc_id", "leaf"], "leaf")
+    proved = proved.withColumn("folded_root", folded(F.coalesce("altered", "leaf"), F.col("way")))
+    return proved.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("way")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: The places that are counted; their labels stay whatever the notices add.
+BASE_PHRASES = [exact_phrase("cc by", "cc-by"), exact_phrase("general public license", "gpl"), exact_phrase("all rights reserved", "reserved")]
+
+
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_labels(table(spark, sf_dir, "documents"), [*BASE_PHRASES, *NOTICES])
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = product_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256.0)
+    coded = label_errors(materialize(coded)).withColumn("codebooks_sha256", F.lit(digest_codebooks(codebooks)))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def _judged(scored: DataFrame, held_out) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_url_rules, op4_source_mixing, op5_decontamination, op6_token_store, op7_ngram_jaccard, op8_token_counts, op9_quality, op10_katz)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_url_rules, op4_source_mixing, op5_decontamination, op6_token_store, op7_ngram_jaccard, op8_token_counts, op9_quality, op10_katz, op11_merkle_manifest, op12_licence_scan, op13_vector_codes)}
