@@ -89,15 +89,19 @@ def template_facts(texts: DataFrame, templates: list[LicenceTemplate]) -> DataFr
 def licence_places(texts: DataFrame, templates: list[LicenceTemplate]) -> DataFrame:
     """(id, text_hash, template, label, base, start, share): every place where a template of the library stands.
 
-    texts has (id, text_hash, text). Each occurrence of an anchor word proposes a start: its place
+    texts has (id, text_hash, text). Each occurrence of an index word proposes a start: its place
     less its place in the template. The template's other anchors are then looked for at their
     places relative to that start, off by `slack` at most; those found must weigh half of all, and
     every key phrase must stand within the template's span, widened by slack. With slack 0 and the
     whole template as the phrase this is exact equality.
+
+    Index words are the rarest anchors: without them the others weigh less than half of all, so
+    every copy holds one of them, and common words are never looked up.
     """
     small = (lambda t: F.broadcast(t)) if sum(min(ANCHORS, len(x.words.split(" "))) for x in templates) <= MOST_INDEX_ROWS else (lambda t: t)
     facts = materialize(template_facts(texts, templates))
-    index = facts.select("template", "slack", "length", F.explode("anchors").alias("a")).select("template", "slack", "length", F.col("a.word").alias("word"), F.col("a.tpos").alias("tpos"))
+    rest = F.aggregate(F.slice("anchors", F.col("k") + 1, F.size("anchors")), F.lit(0).cast("long"), lambda s, a: s + a["weight"])
+    index = facts.select("*", F.posexplode("anchors").alias("k", "a")).where(2 * rest >= F.col("total")).select("template", "slack", "length", F.col("a.word").alias("word"), F.col("a.tpos").alias("tpos"))
     # the outer form: the inner one makes Spark filter by the size of words, which splits every text again
     words = texts.select("id", "text_hash", words_of(F.col("text")).alias("words"))
     x = words.select("id", "text_hash", "words", F.posexplode_outer("words").alias("pos", "word")).join(small(index), "word")

@@ -209,10 +209,10 @@ WITH template(t, label, base, slack, twords, phrases) AS (VALUES {rows}
 ), weighed AS (
   SELECT t, slack, word, tpos, CAST(floor(1000 * ln(((SELECT count(*) FROM d) + 1) / (coalesce(df, 0) + 1))) AS BIGINT) + 1 AS weight FROM tword LEFT JOIN df USING (word)
 ), anchor AS (
-  SELECT *, sum(weight) OVER (PARTITION BY t) AS total
+  SELECT *, sum(weight) OVER (PARTITION BY t) AS total, sum(weight) OVER (PARTITION BY t ORDER BY rank DESC) AS rest
   FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY weight DESC, tpos) AS rank FROM weighed) WHERE rank <= CASE WHEN slack = 0 THEN 1 ELSE {ANCHORS} END
 ), proposed AS (
-  SELECT DISTINCT id, t, i - tpos AS start FROM word JOIN anchor USING (word)
+  SELECT DISTINCT id, t, i - tpos AS start FROM word JOIN anchor USING (word) WHERE 2 * rest >= total
 ), found AS (
   SELECT id, t, start, total, sum(weight) AS found FROM (
     SELECT DISTINCT p.id, p.t, p.start, a.word, a.weight, a.total FROM proposed p JOIN anchor a USING (t)
