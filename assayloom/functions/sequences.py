@@ -419,3 +419,15 @@ def lay_patterns(seq: Column, sites: dict[str, Column], patterns: list[tuple[str
         return pa.ListArray.from_arrays(bound(np.bincount(row, minlength=len(seqs))), laid)
 
     return lay.asNondeterministic()(seq, F.struct(*[c.cast("int").alias(k) for k, c in sites.items()]))
+
+
+def mismatch_counts(windows: Column, patterns: Column) -> Column:
+    """How many places of a window hold a base that the pattern of the same length does not allow."""
+
+    @F.arrow_udf("int")
+    def count(seen: pa.Array, wanted: pa.Array) -> pa.Array:
+        (raw, bounds), (pattern, places) = _letters(seen), _letters(wanted)
+        wrong = (_SEEN_OF[np.frombuffer(raw, np.uint8)[bounds[0] :]] & _MASK_OF[np.frombuffer(pattern, np.uint8)[places[0] :]]) == 0
+        return pa.array(np.diff(np.concatenate([[0], np.cumsum(wrong)])[bounds - bounds[0]]).astype(np.int32))
+
+    return count.asNondeterministic()(windows, patterns)
