@@ -20,6 +20,8 @@ BLOCKS, WIDTH = 4, 16
 #: Two fingerprints within this many bits agree in some block but for FLIPS bits: 15 = 4 * (3 + 1) - 1.
 FLIPS = 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
+#: Items with fewer shingles are met by a shared one: the fingerprint of so few is too coarse, and their windows are short.
+SHORT = 8
 #: Benchmark shingles that are broadcast at once (16 bytes each); more of them take turns.
 MOST_SHINGLES = 1_000_000
 
@@ -40,11 +42,17 @@ def shingles_of(words: Column, size: int) -> Column:
     return F.get(runs, 0)
 
 
-def fingerprints(sets: DataFrame, keys: list[str], shingles: str) -> DataFrame:
-    """keys and the 64-bit SimHash of the multiset in `shingles`: each occurrence weighs one."""
-    bit = lambda b: F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))
-    sums = sets.select(*keys, F.explode(shingles).alias("h")).groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(bit(b)).alias(f"b{b}") for b in range(64)])
-    parts = [F.shiftleft(F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit(1)).otherwise(F.lit(0)).cast("bigint"), b) for b in range(64)]
+def fingerprints(sets: DataFrame, keys: list[str], shingles: str, most: int) -> DataFrame:
+    """keys and the 64-bit SimHash of the multiset in `shingles`, which has `most` elements at most: each occurrence weighs one.
+
+    Votes of several bits are summed in one long, in lanes wide enough for `most`.
+    """
+    lane = 16 if most < 1 << 16 else 32
+    ones = sum(1 << k for k in range(0, 64, lane))
+    vote = lambda j: F.shiftrightunsigned("h", j).bitwiseAND(F.lit(ones))
+    sums = sets.select(*keys, F.explode(shingles).alias("h")).groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(vote(j)).alias(f"v{j}") for j in range(lane)])
+    votes = lambda b: F.shiftrightunsigned(f"v{b % lane}", b // lane * lane).bitwiseAND(F.lit((1 << lane) - 1))
+    parts = [F.shiftleft(F.when(2 * votes(b) > F.col("n"), F.lit(1)).otherwise(F.lit(0)).cast("bigint"), b) for b in range(64)]
     return sums.select(*keys, functools.reduce(lambda a, b: a.bitwiseOR(b), parts).alias("fp"))
 
 
@@ -68,7 +76,8 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, percent: int = 80
 
     Windows without a shingle of the item have similarity 0, and moving a window on to its first
     shared shingle loses none, so only windows that begin with a shingle of some item of that size
-    are fingerprinted. At exactly 0.8 fingerprints differ in 9.7 of 64 bits on average (standard
+    are looked at. Those of items with fewer than SHORT shingles meet every item with which they
+    share one, so none of these is lost; the others are fingerprinted. At exactly 0.8 fingerprints differ in 9.7 of 64 bits on average (standard
     deviation 2.9), at 0.9 in 6.6; the block index returns all within 15, which 4 * 697 of 65,536
     unrelated pairs meet, and the exact similarity decides. Equal windows of many documents are
     one row from there on, so a passage in a third of all rows costs no more.
@@ -85,9 +94,11 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, percent: int = 80
         some = items.where(F.col("run") == run).select("item", shingles_of(F.col("words"), run).alias("shingles"))
         some = materialize(some.withColumn("size", F.size("shingles")))
         starts = some.select("size", F.explode("shingles").alias("h")).distinct()
-        turns = max(1, -(-starts.count() // MOST_SHINGLES))
+        many, most = some.agg(F.sum("size"), F.max("size")).first()
+        turns = max(1, -(-many // MOST_SHINGLES))
         rows = docs.select("id", "text_hash", shingles_of(F.col("words"), run).alias("shingles"))
-        places = rows.select("id", "text_hash", "shingles", F.posexplode("shingles").alias("pos", "h"))
+        # the outer form: the inner one makes Spark filter by the size of shingles, which hashes every text again
+        places = rows.select("id", "text_hash", "shingles", F.posexplode_outer("shingles").alias("pos", "h"))
         found = []
         for turn in range(turns):
             part = starts.where(F.pmod("h", F.lit(turns)) == turn)
@@ -98,12 +109,14 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, percent: int = 80
         windows = windows.where(100 * F.size("window") >= percent * F.col("size"))
         windows = materialize(windows)
         distinct = materialize(windows.groupBy("size", "w").agg(F.first("window").alias("window")))
-        marks = fingerprints(distinct, ["size", "w"], "window").select("size", "w", "fp", F.inline(block_values(F.col("fp"))))
-        index = fingerprints(some, ["item", "size"], "shingles").select("item", "size", F.col("fp").alias("item_fp"), F.inline(block_values(F.col("fp"))))
+        long, short = F.col("size") >= SHORT, F.col("size") < SHORT
+        marks = fingerprints(distinct.where(long), ["size", "w"], "window", most).select("size", "w", "fp", F.inline(block_values(F.col("fp"))))
+        index = fingerprints(some.where(long), ["item", "size"], "shingles", most).select("item", "size", F.col("fp").alias("item_fp"), F.inline(block_values(F.col("fp"))))
         index = index.withColumn("mask", F.explode(near_values())).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
         # the index is larger than Spark takes it for and grows with the benchmark, so it is never broadcast
-        close = marks.join(index.hint("merge"), ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-        pairs = materialize(close.select("size", "w", "item").distinct())
+        close = marks.join(index.hint("merge"), ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("size", "w", "item")
+        few = distinct.where(short).select("size", "w", F.explode("window").alias("h")).join(some.where(short).select("item", "size", F.explode("shingles").alias("h")), ["size", "h"]).select("size", "w", "item")
+        pairs = materialize(close.union(few).distinct())
         counts = lambda t, keys, col: t.select(*keys, F.explode(col).alias("h")).groupBy(*keys, "h").agg(F.count("*").alias("c"))
         mine = counts(distinct.join(pairs.select("size", "w").distinct(), ["size", "w"], "left_semi"), ["size", "w"], "window")
         theirs = counts(some, ["item", "size"], "shingles").withColumnRenamed("c", "d")
