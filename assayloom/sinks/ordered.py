@@ -129,12 +129,12 @@ class OrderedLines(DataSource):
         return "number bigint, line string"
 
     def reader(self, schema) -> OrderedReader:
-        return OrderedReader(dict(self.options))
+        return OrderedReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> OrderedWriter:
         if not overwrite:
             raise ValueError("ordered_lines: a table is replaced whole; use mode('overwrite')")
-        return OrderedWriter(dict(self.options))
+        return OrderedWriter(self.options)
 
 
 def write_ordered(lines: DataFrame, order: list[str], path: str, line_end: str = "\n") -> None:

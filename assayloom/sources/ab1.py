@@ -109,7 +109,7 @@ def with_measures(reads: DataFrame) -> DataFrame:
 def read_ab1(spark: SparkSession, path: str, glob: str = "*.ab1") -> DataFrame:
     """All chromatograms below a folder through Spark's own file systems; ord is a hash of the path. A bad file costs its own row only.
 
-    read_abif numbers files by path, for stores that pyarrow reaches.
+    Spark's own source passes over empty files. read_abif reports them and numbers files by path, in stores that pyarrow reaches.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return load_files(files.select(F.xxhash64("path").alias("ord"), F.col("path").alias("filename"), F.col("content").alias("data")))
