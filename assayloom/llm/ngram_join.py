@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -36,12 +37,21 @@ def shingle_sets(texts: pa.Array, words_each: int) -> list[np.ndarray]:
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker waits for later stages beside others that work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 def _sets_of(part, words_each):
     """(slice of the batch, its shingle sets), block by block."""
     for batch in part:
         for at, size in batches(batch["text"]):
             piece = batch.slice(at, size)
             yield piece, shingle_sets(piece["text"], words_each)
+        give_back()
 
 
 def shingle_sketch(texts: DataFrame, words_each: int, bits: int) -> np.ndarray:
@@ -95,15 +105,16 @@ def _add_counts(total: np.ndarray, packed: bytes) -> None:
         total[at] += n
 
 
-def _signatures(texts: DataFrame, sketch, words_each: int, percent: int, bits: int, rest: bool = False) -> DataFrame:
+def _signatures(texts: DataFrame, sketch, words_each: int, percent: int, bits: int, rest: bool = False, members=None) -> DataFrame:
     """(id, n, digest, grp, prefix): size and digest of each set, and its rarest shingles, as many as the prefix filter needs.
 
     grp is the digest of the prefix. With `rest`, the other shingles stand in the place of the prefix, as column rest.
+    With `members`, a broadcast Bloom filter, texts of other ids are left out.
     """
 
     def sign(part):
         rank = sketch.value
-        for piece, sets in _sets_of(part, words_each):
+        for piece, sets in _sets_of(part if members is None else (_among(batch, members.value) for batch in part), words_each):
             n, digest, grp, shown = [], [], [], []
             for x in sets:
                 n.append(len(x))
@@ -153,6 +164,11 @@ def maybe_in(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _among(batch: pa.RecordBatch, bloom: np.ndarray) -> pa.RecordBatch:
+    """The rows whose id may be in the filter."""
+    return batch.filter(pa.array(maybe_in(bloom, batch["id"].fill_null(0).to_numpy()) & batch["id"].is_valid().to_numpy(zero_copy_only=False)))
+
+
 def pairs_within_groups(members: DataFrame, texts: DataFrame, sketch, words_each: int, percent: int, bits: int) -> DataFrame:
     """(a, b): the pairs of one group (n, grp) and different components that can reach the similarity.
 
@@ -163,11 +179,7 @@ def pairs_within_groups(members: DataFrame, texts: DataFrame, sketch, words_each
     """
     bloom = texts.sparkSession.sparkContext.broadcast(bloom_filter(members.select("id").distinct()))
 
-    def of_members(part):
-        for batch in part:
-            yield batch.filter(pa.array(maybe_in(bloom.value, batch["id"].fill_null(0).to_numpy()) & batch["id"].is_valid().to_numpy(zero_copy_only=False)))
-
-    some = _signatures(texts.mapInArrow(of_members, "id long, text string"), sketch, words_each, percent, bits, rest=True)
+    some = _signatures(texts, sketch, words_each, percent, bits, rest=True, members=bloom)
     some = some.join(members, ["id", "n", "digest", "grp"]).dropDuplicates(["id", "n", "digest"])
     key = ["n", "grp", "token"]
     tokens = materialize(some.select("id", "n", "digest", "grp", "component", F.size("rest").alias("others"), F.explode("rest").alias("token")))
@@ -191,7 +203,7 @@ def verified_links(pairs: DataFrame, texts: DataFrame, words_each: int, percent:
     def collect(part):
         zip_ = zstandard.ZstdCompressor(level=3)
         for batch in part:
-            some = batch.filter(pa.array(maybe_in(bloom.value, batch["id"].fill_null(0).to_numpy()) & batch["id"].is_valid().to_numpy(zero_copy_only=False)))
+            some = _among(batch, bloom.value)
             yield pa.RecordBatch.from_arrays([some["id"], pa.array([zip_.compress((x or "").encode()) for x in some["text"].to_pylist()], pa.binary())], ["id", "packed"])
 
     some = materialize(texts.mapInArrow(collect, "id long, packed binary"), "lz4")
@@ -211,6 +223,7 @@ def verified_links(pairs: DataFrame, texts: DataFrame, words_each: int, percent:
                     same = int((every[1:] == every[:-1]).sum())
                     keep.append(100 * same >= percent * (len(x) + len(y) - same) and len(x) > 0)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     x, y = some.select(F.col("id").alias("a"), F.col("packed").alias("x")), some.select(F.col("id").alias("b"), F.col("packed").alias("y"))
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
