@@ -18,6 +18,8 @@ from .common import Words, batches, bounded_batches, chain, materialize, mix, st
 END = np.uint64(0xA0761D6478BD642F)
 #: Counts up to this one are discounted by Good-Turing.
 CUTOFF = 5
+#: N-grams that a bucket is asked for at most, on average, each time they occur.
+BUCKET_GRAMS = 2_000_000
 #: What is taken from each higher count, so that every context keeps mass for words not seen after it.
 SLIVER = 1e-3
 
@@ -272,7 +274,7 @@ def _score_block(texts: pa.Table, replies: pa.Table, order: int, discounts: list
     return pa.concat_tables([pa.table({c: pa.array([block] * len(t["kind"]), k) if c == "block" else pa.array(t[c], k) if c in t else pa.nulls(len(t["kind"]), k) for c, k in types.items()}) for t in tables])
 
 
-def katz_scores(documents: DataFrame, learns: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6 << 20) -> DataFrame:
+def katz_scores(documents: DataFrame, learns: Column, order: int = 3, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every text, learning from all texts where `learns` holds.
 
     score: log10 probability of the text under a Katz model of the given order, closing sign included.
@@ -283,7 +285,8 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 2, id_col: st
     texts whatever order the input comes in. Each block sends its distinct n-grams once to the buckets that count them and
     gets totals back in the order it asked, so what moves is a few bytes for each distinct n-gram
     of a block. Buckets are ranges of a 64-bit hash, so frequent words and contexts never meet in
-    one task; their number follows spark.sql.shuffle.partitions. The tables of n-grams (kind
+    one task; their number follows from the words of all texts (BUCKET_GRAMS) and is at least twice
+    spark.sql.shuffle.partitions. The tables of n-grams (kind
     `table`) and of backoff weights are written in partitions; nothing of them passes the driver
     but CUTOFF + 3 sums for each order. Backoff weights are exactly normalised: the mass not taken
     by a context's discounted n-grams over the lower-order mass of the words not seen after it.
@@ -292,9 +295,11 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 2, id_col: st
     its negation. Repeated rows are scored and, if they learn, counted each time.
     """
     spark = documents.sparkSession
-    bits = max(6, math.ceil(math.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     texts = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
     blocks = materialize(texts.mapInArrow(lambda part: _blocks(part, block_bytes), TEXT), "lz4")
+    size = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n + 2))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size / BUCKET_GRAMS)
+    bits = max(6, math.ceil(math.log2(buckets)))
     asked = blocks.mapInArrow(lambda part: _requests(part, order, bits), REQUEST)
     counted = materialize(asked.groupBy("m", "bucket").applyInArrow(_count, COUNTED), "lz4")
     stats = counted.where("kind = 'table'").select("m", F.posexplode("stats").alias("k", "x")).groupBy("m", "k").agg(F.sum("x").alias("x")).collect()  # CUTOFF + 3 numbers an order

@@ -88,7 +88,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = crc_mod("doc_id", 10)
-    return katz_scores(table(spark, sf_dir, "documents"), turn != 0, order=2).withColumn("held_out", F.coalesce(turn == 0, F.lit(False)))
+    return katz_scores(table(spark, sf_dir, "documents"), turn != 0, order=3).withColumn("held_out", F.coalesce(turn == 0, F.lit(False)))
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

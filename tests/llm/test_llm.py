@@ -181,12 +181,12 @@ def katz_by_hand(rows, order):
     return [sum(math.log10(p(tuple(w[max(0, e - order + 1) : e + 1]))) for e in range(1, len(w))) for w, _ in seqs]
 
 
-@pytest.mark.parametrize("times", [1, 2])
-def test_katz_by_definition_and_repeated_rows(corpus, times):
+@pytest.mark.parametrize(("times", "order"), [(1, 2), (2, 2), (1, 3), (2, 3), (1, 4)])
+def test_katz_by_definition_and_repeated_rows(corpus, times, order):
     docs = corpus if times == 1 else corpus.union(corpus)
     rows = docs.select("doc_id", "text").collect()
-    want = dict(zip((r.doc_id for r in rows), katz_by_hand([(r.text, zlib.crc32(str(r.doc_id).encode()) % 10 != 0) for r in rows], 2), strict=True))
-    got = katz_scores(docs, crc_mod("doc_id", 10) != 0, order=2).collect()
+    want = dict(zip((r.doc_id for r in rows), katz_by_hand([(r.text, zlib.crc32(str(r.doc_id).encode()) % 10 != 0) for r in rows], order), strict=True))
+    got = katz_scores(docs, crc_mod("doc_id", 10) != 0, order=order).collect()
     assert len(got) == len(rows)
     for r in got:
         assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9), r.doc_id
