@@ -30,6 +30,15 @@ def bounded_batches(frame: DataFrame) -> DataFrame:
     return frame
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have executors delete shuffle files of plans that nothing refers to any more.
+
+    Spark does so after the driver's next collection of garbage, by default every half hour; between
+    large steps of one query their files would add up. No result depends on it.
+    """
+    spark._jvm.System.gc()
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, seed: int) -> DataFrame:
     """(doc_id, text, y, turn): texts of at most `rows` labelled ids for which `learn` holds, drawn by a seeded hash.
 

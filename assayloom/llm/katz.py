@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, bounded_batches, chain, materialize, mix, string_hashes
+from .common import Words, batches, bounded_batches, chain, materialize, mix, release_shuffles, string_hashes
 
 #: The hash of the sign that begins and ends a text; it is no word's.
 END = np.uint64(0xA0761D6478BD642F)
@@ -302,6 +302,8 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 3, id_col: st
     bits = max(6, math.ceil(math.log2(buckets)))
     asked = blocks.mapInArrow(lambda part: _requests(part, order, bits), REQUEST)
     counted = materialize(asked.groupBy("m", "bucket").applyInArrow(_count, COUNTED), "lz4")
+    del asked
+    release_shuffles(spark)
     stats = counted.where("kind = 'table'").select("m", F.posexplode("stats").alias("k", "x")).groupBy("m", "k").agg(F.sum("x").alias("x")).collect()  # CUTOFF + 3 numbers an order
     by = {(r.m, r.k): r.x for r in stats}
     lines = [[by.get((m, k), 0) for k in range(CUTOFF + 3)] for m in range(1, order + 1)]
@@ -313,9 +315,13 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 3, id_col: st
 
     replies = counted.where("kind = 'reply'").select("block", "m", "bucket", "times", "own")
     scored = materialize(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, SCORED))
-    sums = scored.where("kind = 'context'").groupBy("m", "context").agg(F.sum("taken").alias("taken"), F.sum("lower").alias("lower"), F.max("total").alias("total"))
+    release_shuffles(spark)
+    contexts = scored.where("kind = 'context'").select("m", "context", "taken", "lower", "total")
+    sums = contexts.where("total > 1").groupBy("m", "context").agg(F.sum("taken").alias("taken"), F.sum("lower").alias("lower"), F.max("total").alias("total"))
+    sums = sums.unionByName(contexts.where("total = 1"))  # seen once, so one block owns all that follows it
     left = F.greatest(1 - F.col("taken") / F.col("total"), F.lit(1e-15))
     weights = materialize(sums.select("m", "context", (left / F.greatest(1 - F.col("lower"), F.lit(1e-15))).alias("weight")))
+    release_shuffles(spark)
     back = scored.where("kind = 'back'").select("block", "row", "m", "context", "times").join(weights, ["m", "context"], "left")
     known = F.when(F.col("weight").isNull(), F.raise_error(F.lit("a context has no backoff weight")).cast("double")).otherwise(F.log10("weight"))
     back = back.groupBy("block", "row").agg(F.sum(F.col("times") * known).alias("backed"))
