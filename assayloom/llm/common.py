@@ -30,13 +30,19 @@ def bounded_batches(frame: DataFrame) -> DataFrame:
     return frame
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Have executors delete shuffle files of plans that nothing refers to any more.
-
-    Spark does so after the driver's next collection of garbage, by default every half hour; between
-    large steps of one query their files would add up. No result depends on it.
-    """
-    spark._jvm.System.gc()
+#: Whether Spark deletes the shuffle files of a finished execution at once, not at the driver's next collection of garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize_clean(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """As materialize; the shuffle files of the write are deleted when it has ended, so those of several large steps don't add up."""
+    conf = df.sparkSession.conf
+    before = conf.get(FILE_CLEANUP)
+    conf.set(FILE_CLEANUP, "true")
+    try:
+        return materialize(df, codec)
+    finally:
+        conf.set(FILE_CLEANUP, before)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, seed: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, bounded_batches, chain, materialize, mix, release_shuffles, string_hashes
+from .common import Words, batches, bounded_batches, chain, materialize, materialize_clean, mix, string_hashes
 
 #: The hash of the sign that begins and ends a text; it is no word's.
 END = np.uint64(0xA0761D6478BD642F)
@@ -148,19 +149,16 @@ def _bucket_slices(keys: np.ndarray, bits: int):
     return [(b, slice(cuts[b], cuts[b + 1])) for b in range(1 << bits) if cuts[b + 1] > cuts[b]]
 
 
-def _requests(part, order, bits):
-    """Each block's distinct n-grams with their counts in its learning texts (0 for others)."""
+def _requests(part, m, bits):
+    """Each block's distinct m-grams with their counts in its learning texts (0 for others)."""
     for batch in part:
         for row in range(batch.num_rows):
             block = batch["block"][row].as_py()
             _, learns, seq = _block_texts(batch, row)
-            grams = seq.grams(order)
-            rows = []
-            for m in range(1, order + 1):
-                at = seq.held(m)
-                keys, inverse = np.unique(grams[m - 1][at], return_inverse=True)
-                times = np.bincount(inverse, learns[seq.doc[at]], len(keys)).astype(np.uint32)
-                rows += [(m, b, block, pack_sorted(keys[s]), pack(times[s])) for b, s in _bucket_slices(keys, bits)]
+            at = seq.held(m)
+            keys, inverse = np.unique(seq.grams(m)[m - 1][at], return_inverse=True)
+            times = np.bincount(inverse, learns[seq.doc[at]], len(keys)).astype(np.uint32)
+            rows = [(m, b, block, pack_sorted(keys[s]), pack(times[s])) for b, s in _bucket_slices(keys, bits)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["m", "bucket", "block", "grams", "times"])
         pa.default_memory_pool().release_unused()
@@ -282,7 +280,7 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 3, id_col: st
     Good-Turing takes from the single words.
 
     Blocks of texts (6 MB) are written once as hashes and read twice, so both readings see the same
-    texts whatever order the input comes in. Each block sends its distinct n-grams once to the buckets that count them and
+    texts whatever order the input comes in. Order by order, each block sends its distinct n-grams once to the buckets that count them and
     gets totals back in the order it asked, so what moves is a few bytes for each distinct n-gram
     of a block. Buckets are ranges of a 64-bit hash, so frequent words and contexts never meet in
     one task; their number follows from the words of all texts (BUCKET_GRAMS) and is at least twice
@@ -300,10 +298,12 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 3, id_col: st
     size = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n + 2))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size / BUCKET_GRAMS)
     bits = max(6, math.ceil(math.log2(buckets)))
-    asked = blocks.mapInArrow(lambda part: _requests(part, order, bits), REQUEST)
-    counted = materialize(asked.groupBy("m", "bucket").applyInArrow(_count, COUNTED), "lz4")
-    del asked
-    release_shuffles(spark)
+
+    def counts(m: int) -> DataFrame:
+        asked = blocks.mapInArrow(lambda part: _requests(part, m, bits), REQUEST)
+        return materialize_clean(asked.groupBy("m", "bucket").applyInArrow(_count, COUNTED), "lz4")
+
+    counted = reduce(DataFrame.unionByName, [counts(m) for m in range(1, order + 1)])
     stats = counted.where("kind = 'table'").select("m", F.posexplode("stats").alias("k", "x")).groupBy("m", "k").agg(F.sum("x").alias("x")).collect()  # CUTOFF + 3 numbers an order
     by = {(r.m, r.k): r.x for r in stats}
     lines = [[by.get((m, k), 0) for k in range(CUTOFF + 3)] for m in range(1, order + 1)]
@@ -314,14 +314,12 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 3, id_col: st
         return _score_block(left, right, order, discounts, n_all, v_all)
 
     replies = counted.where("kind = 'reply'").select("block", "m", "bucket", "times", "own")
-    scored = materialize(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, SCORED))
-    release_shuffles(spark)
+    scored = materialize_clean(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, SCORED))
     contexts = scored.where("kind = 'context'").select("m", "context", "taken", "lower", "total")
     sums = contexts.where("total > 1").groupBy("m", "context").agg(F.sum("taken").alias("taken"), F.sum("lower").alias("lower"), F.max("total").alias("total"))
     sums = sums.unionByName(contexts.where("total = 1"))  # seen once, so one block owns all that follows it
     left = F.greatest(1 - F.col("taken") / F.col("total"), F.lit(1e-15))
-    weights = materialize(sums.select("m", "context", (left / F.greatest(1 - F.col("lower"), F.lit(1e-15))).alias("weight")))
-    release_shuffles(spark)
+    weights = materialize_clean(sums.select("m", "context", (left / F.greatest(1 - F.col("lower"), F.lit(1e-15))).alias("weight")))
     back = scored.where("kind = 'back'").select("block", "row", "m", "context", "times").join(weights, ["m", "context"], "left")
     known = F.when(F.col("weight").isNull(), F.raise_error(F.lit("a context has no backoff weight")).cast("double")).otherwise(F.log10("weight"))
     back = back.groupBy("block", "row").agg(F.sum(F.col("times") * known).alias("backed"))
