@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,9 +47,9 @@ def exact_medians(rows: DataFrame, keys: list[str], value: Column, bins: int = B
         passes += 1
     for _ in range(passes):
         state = materialize(_refined(narrow, state, names, bins))
-    middle = state.groupBy(*names).agg((F.sum("lo") / F.count("*")).alias("median"))
-    out = ends.join(middle, _same(ends, middle, names), "left")
-    return out.select(*[ends[n].alias(k) for k, n in zip(keys, names, strict=True)], "n", "least", "most", "median")
+    middle = state.groupBy(*[F.col(n).alias(f"of_{n}") for n in names]).agg((F.sum("lo") / F.count("*")).alias("median"))
+    same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"of_{n}")) for n in names], F.lit(True))
+    return ends.join(middle, same, "left").select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "n", "least", "most", "median")
 
 
 def _refined(narrow: DataFrame, state: DataFrame, names: list[str], bins: int) -> DataFrame:

@@ -19,7 +19,8 @@ from .operators.calling import LINKER_PROTEIN, primer_calls
 from .operators.primers import ambiguity_order, place_primer, primer_ambiguity, primer_panel
 from .operators.structure import insert_md5, located, measured, oriented, structural_qc, with_landmarks
 from .plans.analysis import Analysis, analyze, with_identity
-from .sinks.scratch import materialize
+from .plans.growing import call_items, merged_tallies, partial_tallies, update_batches
+from .sinks.scratch import materialize, scratch_dir
 from .sinks.text import csv_lines
 from .sources.ab1 import basename, clone_id
 from .sources.fasta import core_trims, fasta_entries, primer_table, read_primers
@@ -141,6 +142,14 @@ def batch_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupingSets([["batch", "label"], ["label"]], "batch", "label").agg(F.count("*").alias("n"))
 
 
+def growing_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by batch from a table of partial tallies, after all batches were added and one came again."""
+    partial, path = materialize(partial_tallies(call_items(_calls(spark, sf_dir)))), scratch_dir(spark)
+    update_batches(partial, path)
+    update_batches(partial.join(F.broadcast(partial.agg(F.min("batch").alias("batch"))), "batch").select(partial.columns), path)
+    return merged_tallies(spark, path, by_batch=True)
+
+
 def control_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = build_config({"analysis_mode": NEGCTRL})
     facts = measured(_located(spark, sf_dir, cfg), cfg).select("ord", "id", "n_notI", "n_ascI", "n_link", "pos_notI", "pos_link", "pos_ascI", "stuffer", "insert_bp", "mix_pct", "seq")
@@ -202,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         synthetic_reads, read_names, orientation, quality_trim, motif_positions, insert_distances, translation, cdr3_lengths, tandem_repeats, trace_mixing, landmark_states,
-        structural_verdicts, structural_flags, primer_groups, primer_pairs, call_rows, family_tally, family_species, panel_coverage, batch_families, control_verdicts,
+        structural_verdicts, structural_flags, primer_groups, primer_pairs, call_rows, family_tally, family_species, panel_coverage, batch_families, growing_tally, control_verdicts,
         insert_fingerprints, natural_order, summary_table, structure_table, call_table, batch_composition, assigned_flags, fasta_export, csv_export,
     )
 }
@@ -348,6 +357,9 @@ def _oracle() -> dict[str, str]:
         "family_tally": f"""with {_called()}, rows_ as (select ord, key, {label} as label from calls where ok union all select ord, 'chain', sure from vl where sure is not null),
           counted as (select key, label, count(*) as n, min(ord) as first from rows_ group by key, label)
           select key, label, n, cast(row_number() over (partition by key order by n desc, first) as integer) as rank from counted""",
+        "growing_tally": f"""with {_called()}, rows_ as (select ord, batch, key, {label} as label from calls where ok union all select ord, batch, 'chain', sure from vl where sure is not null),
+          counted as (select batch, key, label, count(*) as n, min(ord) as first from rows_ group by batch, key, label)
+          select cast(batch as varchar) as batch, key, label, n, cast(row_number() over (partition by batch, key order by n desc, first, label) as integer) as rank from counted""",
         "family_species": f"""with {_called()}, fam as (select key, n_names, unnest(fams) as family from calls where ok), sets as (select key, count(distinct family) filter (n_names = 1) as certain, count(distinct family) as possible from fam group by key),
           only_ as (select key, string_agg(family, '|' order by family) as only_ties from (select key, family from fam group by key, family having count(*) filter (n_names = 1) = 0) group by key),
           ns as (select key, count(*) as n, count(*) filter (n_names > 1) as n_ties from calls where ok group by key)
