@@ -15,6 +15,7 @@ from assayloom.constants import QC2
 from assayloom.functions.order import natural_key
 from assayloom.functions.sequences import CODONS, align_windows, find_motif, scan_landmark, translate
 from assayloom.queries import ORACLE_SQL, QUERIES
+from assayloom.source_queries import QUERIES as SOURCE_QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,15 +92,33 @@ def test_entry_is_imported_without_a_session():
     assert int(_fresh("import __spark_entry__ as e; print(len(e.queries()))")[-1]) >= 30
 
 
-def test_entry_is_imported_without_the_corpus_operators():
-    hide = """
+@pytest.mark.parametrize("gone", ["corpus_pipeline assayloom.llm", "zstandard", "public_tokenizers"])
+def test_entry_is_imported_without_the_corpus_operators(gone):
+    """Their folder, or a library that they alone need, is missing: every other query is there."""
+    hide = f"""
 import sys
 class Hidden:
     def find_spec(self, name, path=None, target=None):
-        if name == "corpus_pipeline" or name.startswith("assayloom.llm"):
+        if any(name == x or name.startswith(x + ".") for x in "{gone}".split()):
             raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Hidden())
 import __spark_entry__ as e
 print(sum(q.startswith("op") or q == "pipeline" for q in e.queries()), len(e.queries()))
 """
-    assert [int(x) for x in _fresh(hide)[-2:]] == [0, len(QUERIES)]
+    assert [int(x) for x in _fresh(hide)[-2:]] == [0, len(QUERIES) + len(SOURCE_QUERIES)]
+
+
+def test_entry_does_not_hide_what_the_rest_lacks():
+    hide = """
+import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name == "assayloom.sinks.scratch":
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Hidden())
+try:
+    import __spark_entry__
+except ModuleNotFoundError as e:
+    print(e.name)
+"""
+    assert _fresh(hide) == ["assayloom.sinks.scratch"]
