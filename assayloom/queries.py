@@ -270,6 +270,17 @@ def _proteins() -> str:
       case when aa is not null and strpos(aa, '*') = 0 then true when strpos(aa, '*') > 0 and pos_ascI >= 0 then orf_start + 3 * (strpos(aa, '*') - 1) >= pos_ascI end as stop_ok from full_)"""
 
 
+def _repeats() -> str:
+    """The tandem repeat of each read of `sites`: VH before VL, then the shortest period, then the leftmost."""
+    t = CFG.thresholds
+    return f"""regions as (select ord, 'VH' as region, substr(seq, pos_notI + 1, d1) as s from sites where d1 is not null
+            union all select ord, 'VL', substr(seq, pos_link + {len(QC2)} + 1, d2) from sites where d2 > 0),
+          words as (select ord, region, s, i, substr(s, i + 1, {t['repeat_min_len']}) as w from (select *, unnest(range(length(s) - {t['repeat_min_len'] - 1})) as i from regions where length(s) >= {2 * t['repeat_min_len']})),
+          twice as (select a.ord, a.region, a.i as pos, b.i - a.i as period, substr(a.s, a.i + 1, b.i - a.i) as unit from words a join words b on a.ord = b.ord and a.region = b.region and a.w = b.w
+            where b.i - a.i between {t['repeat_min_len']} and {REPEAT_MAX_PERIOD} and substr(a.s, a.i + 1, b.i - a.i) = substr(a.s, b.i + 1, b.i - a.i)),
+          repeats as (select * from (select *, row_number() over (partition by ord order by region, period, pos) as r from twice) where r = 1)"""
+
+
 def _panel() -> list[dict]:
     """The panel with trims and placements, from its rows alone."""
     buckets = defaultdict(list)
@@ -339,13 +350,7 @@ def _oracle() -> dict[str, str]:
         "cdr3_lengths": f"""with {_proteins()}, heads as (select regexp_extract(case when strpos(prot, '{LINKER_PROTEIN}') > 0 then substr(prot, 1, strpos(prot, '{LINKER_PROTEIN}') - 1) else prot end, '^(.*)WG.G', 1) as head from prots),
           found as (select regexp_extract(head, '[^C]*$') as cdr3 from heads where contains(head, 'C'))
           select cast(length(cdr3) as integer) as cdr3_len, count(*) as n, count(distinct cdr3) as n_distinct from found group by 1""",
-        "tandem_repeats": f"""with {_sites()}, regions as (select ord, 'VH' as region, substr(seq, pos_notI + 1, d1) as s from sites where d1 is not null
-            union all select ord, 'VL', substr(seq, pos_link + {len(QC2)} + 1, d2) from sites where d2 > 0),
-          words as (select ord, region, s, i, substr(s, i + 1, {t['repeat_min_len']}) as w from (select *, unnest(range(length(s) - {t['repeat_min_len'] - 1})) as i from regions where length(s) >= {2 * t['repeat_min_len']})),
-          twice as (select a.ord, a.region, a.i as pos, b.i - a.i as period, substr(a.s, a.i + 1, b.i - a.i) as unit from words a join words b on a.ord = b.ord and a.region = b.region and a.w = b.w
-            where b.i - a.i between {t['repeat_min_len']} and {REPEAT_MAX_PERIOD} and substr(a.s, a.i + 1, b.i - a.i) = substr(a.s, b.i + 1, b.i - a.i)),
-          firsts as (select *, row_number() over (partition by ord order by region, period, pos) as r from twice)
-          select ord, cast(pos as integer) as pos, cast(period as integer) as period, unit, region from firsts where r = 1""",
+        "tandem_repeats": f"with {_sites()}, {_repeats()} select ord, cast(pos as integer) as pos, cast(period as integer) as period, unit, region from repeats",
         "trace_mixing": f"""with peaks as (select vec_id as id, list_transform(range(16), lambda p: list_reverse_sort([{channels}])) as v from embeddings),
           rates as (select id, list_transform(list_filter(v, lambda x: x[1] > 0), lambda x: x[2] / x[1]) as r from peaks)
           select id, case when len(r) > 0 then 100.0 * len(list_filter(r, lambda x: x > {t['mix_ratio']})) / len(r) end as mix_pct, case when len(r) > 0 then cast(len(r) as integer) end as mix_n from rates""",
