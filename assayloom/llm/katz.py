@@ -134,8 +134,8 @@ def _block_texts(texts: pa.Table | pa.RecordBatch, row: int = 0):
     return ids, learns, Sequences(np.frombuffer(value("vocabulary"), np.uint64), unpack(value("words"), np.uint32).astype(np.int64), lengths)
 
 
-REQUEST = "m int, bucket int, block long, grams binary, times binary"
-COUNTED = "kind string, m int, bucket int, block long, grams binary, times binary, own binary, stats array<long>"
+REQUEST = "m int, bucket int, block long, grams binary, times binary, asks binary"
+COUNTED = "kind string, m int, bucket int, block long, grams binary, times binary, own binary, asked binary, stats array<long>"
 SCORED = (
     "kind string, block long, row int, id long, held_out boolean, n_tokens long, n_known long, base_score double, part_score double,"
     " m int, context long, times long, taken double, lower double, total long"
@@ -150,17 +150,19 @@ def _bucket_slices(keys: np.ndarray, bits: int):
 
 
 def _requests(part, m, bits):
-    """Each block's distinct m-grams with their counts in its learning texts (0 for others)."""
+    """Each block's distinct m-grams with their counts in its learning texts (0 for others), and whether a text that isn't learnt from has them."""
     for batch in part:
         for row in range(batch.num_rows):
             block = batch["block"][row].as_py()
             _, learns, seq = _block_texts(batch, row)
             at = seq.held(m)
             keys, inverse = np.unique(seq.grams(m)[m - 1][at], return_inverse=True)
-            times = np.bincount(inverse, learns[seq.doc[at]], len(keys)).astype(np.uint32)
-            rows = [(m, b, block, pack_sorted(keys[s]), pack(times[s])) for b, s in _bucket_slices(keys, bits)]
+            learnt = learns[seq.doc[at]]
+            times = np.bincount(inverse, learnt, len(keys)).astype(np.uint32)
+            asks = np.bincount(inverse, ~learnt, len(keys)) > 0
+            rows = [(m, b, block, pack_sorted(keys[s]), pack(times[s]), np.packbits(asks[s]).tobytes()) for b, s in _bucket_slices(keys, bits)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["m", "bucket", "block", "grams", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["m", "bucket", "block", "grams", "times", "asks"])
         pa.default_memory_pool().release_unused()
 
 
@@ -168,15 +170,17 @@ def _count(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
     """One bucket of one order: total counts as a table row, and for each block the totals of what it asked for."""
     m, bucket = key[0].as_py(), key[1].as_py()
     blocks = got["block"].to_pylist()
-    asked = [unpack_sorted(x) for x in got["grams"].to_pylist()]
-    keys, first, inverse = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
+    grams = [unpack_sorted(x) for x in got["grams"].to_pylist()]
+    keys, first, inverse = np.unique(np.concatenate(grams), return_index=True, return_inverse=True)
+    asks = [np.unpackbits(np.frombuffer(a, np.uint8), count=len(g)) for a, g in zip(got["asks"].to_pylist(), grams, strict=True)]
+    asked = np.bincount(inverse, np.concatenate(asks)) > 0
     total = np.bincount(inverse, np.concatenate([unpack(x, np.uint32) for x in got["times"].to_pylist()])).astype(np.int64)
     own = np.zeros(len(inverse), bool)
     own[first] = total > 0
     seen = total > 0
     stats = [int((total == r).sum()) for r in range(1, CUTOFF + 2)] + [int(total.sum()), int(seen.sum())]
-    ends = np.cumsum([len(x) for x in asked])
-    parts = [slice(e - len(x), e) for x, e in zip(asked, ends, strict=True)]
+    ends = np.cumsum([len(x) for x in grams])
+    parts = [slice(e - len(x), e) for x, e in zip(grams, ends, strict=True)]
     n = len(parts)
     return pa.table(
         {
@@ -187,6 +191,7 @@ def _count(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
             "grams": pa.array([pack_sorted(keys[seen])] + [None] * n, pa.binary()),
             "times": pa.array([pack(total[seen])] + [pack(total[inverse[s]]) for s in parts], pa.binary()),
             "own": pa.array([None] + [np.packbits(own[s]).tobytes() for s in parts], pa.binary()),
+            "asked": pa.array([None] + [np.packbits(asked[inverse[s]]).tobytes() for s in parts], pa.binary()),
             "stats": pa.array([stats] + [None] * n, pa.list_(pa.int64())),
         }
     )
@@ -197,28 +202,32 @@ def _score_block(texts: pa.Table, replies: pa.Table, order: int, discounts: list
 
     A text's part_score has all but the backoff weights. Rows of kind `back` name the contexts whose
     weights it still needs; rows of kind `context` sum, over the n-grams that this block owns, the
-    discounted counts and the lower-order probabilities, each n-gram once in the whole corpus.
+    discounted counts and the lower-order probabilities, each n-gram once in the whole corpus. Contexts
+    that no text outside the learnt ones has are left out: a learnt text has no unseen n-gram, so
+    nobody backs off from them.
     """
     block = texts["block"][0].as_py()
     ids, learns, seq = _block_texts(texts)
     grams = seq.grams(order)
-    wanted: dict[int, dict[int, tuple[bytes, np.ndarray]]] = {m: {} for m in range(1, order + 1)}
-    for m, b, times, own in zip(*(replies[c].to_pylist() for c in ("m", "bucket", "times", "own")), strict=True):
-        wanted[m][b] = (times, np.frombuffer(own, np.uint8))
+    wanted: dict[int, dict[int, tuple[bytes, np.ndarray, np.ndarray]]] = {m: {} for m in range(1, order + 1)}
+    for m, b, times, own, asked in zip(*(replies[c].to_pylist() for c in ("m", "bucket", "times", "own", "asked")), strict=True):
+        wanted[m][b] = (times, np.frombuffer(own, np.uint8), np.frombuffer(asked, np.uint8))
     n = len(seq.doc)
-    count, owned = [np.zeros(n, np.int64) for _ in range(order)], [np.zeros(n, bool) for _ in range(order)]
+    count, owned, needed = [np.zeros(n, np.int64) for _ in range(order)], [np.zeros(n, bool) for _ in range(order)], [np.zeros(n, bool) for _ in range(order)]
     for m in range(1, order + 1):
         at = seq.held(m)
         keys, first, inverse = np.unique(grams[m - 1][at], return_index=True, return_inverse=True)
-        got = [(unpack(t, np.int64), o) for _, (t, o) in sorted(wanted[m].items())]
-        total = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in got)])
-        own = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(o, count=len(t)) for t, o in got)]).astype(bool)
+        got = [(unpack(t, np.int64), o, a) for _, (t, o, a) in sorted(wanted[m].items())]
+        total = np.concatenate([np.zeros(0, np.int64), *(t for t, _, _ in got)])
+        own, asked = (np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(x[i], count=len(x[0])) for x in got)]).astype(bool) for i in (1, 2))
         if len(total) != len(keys):
             raise RuntimeError("a block lacks the totals of some of its n-grams")
         count[m - 1][at] = total[inverse]
         owned[m - 1][at[first[own]]] = True
+        needed[m - 1][at] = asked[inverse]
         if m == 1:  # the first sign of a text is context alone and has the count of END
-            count[0][seq.begin] = count[0][np.append(seq.begin[1:], n) - 1]
+            for kept in (count[0], needed[0]):
+                kept[seq.begin] = kept[np.append(seq.begin[1:], n) - 1]
     with np.errstate(divide="ignore", invalid="ignore"):
         kept = sum(r * discounts[0][r] * n_r for r, n_r in enumerate(discounts[-1][:CUTOFF], 1)) if n_all else 0.0
         few, few_types = sum(r * n_r for r, n_r in enumerate(discounts[-1][:CUTOFF], 1)), sum(discounts[-1][:CUTOFF])
@@ -258,6 +267,7 @@ def _score_block(texts: pa.Table, replies: pa.Table, order: int, discounts: list
     tables += [{"kind": ["back"] * len(r), "row": r, "m": np.full(len(r), m), "context": c, "times": t} for m, r, c, t in backs]
     for m in range(2, order + 1):
         at = np.flatnonzero(owned[m - 1])
+        at = at[needed[m - 2][at - 1]]
         contexts, inverse = np.unique(grams[m - 2][at - 1], return_inverse=True)
         one = np.zeros(len(contexts), np.int64)
         one[inverse] = count[m - 2][at - 1]
@@ -313,7 +323,7 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 3, id_col: st
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         return _score_block(left, right, order, discounts, n_all, v_all)
 
-    replies = counted.where("kind = 'reply'").select("block", "m", "bucket", "times", "own")
+    replies = counted.where("kind = 'reply'").select("block", "m", "bucket", "times", "own", "asked")
     scored = materialize_clean(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, SCORED))
     contexts = scored.where("kind = 'context'").select("m", "context", "taken", "lower", "total")
     sums = contexts.where("total > 1").groupBy("m", "context").agg(F.sum("taken").alias("taken"), F.sum("lower").alias("lower"), F.max("total").alias("total"))
