@@ -21,6 +21,8 @@ END = np.uint64(0xA0761D6478BD642F)
 CUTOFF = 5
 #: N-grams that a bucket is asked for at most, on average, each time they occur.
 BUCKET_GRAMS = 2_000_000
+#: Shares of the blocks that are scored one after another: only one share's texts and totals lie in shuffle files at a time.
+SHARES = 4
 #: What is taken from each higher count, so that every context keeps mass for words not seen after it.
 SLIVER = 1e-3
 
@@ -149,8 +151,8 @@ def _bucket_slices(keys: np.ndarray, bits: int):
     return [(b, slice(cuts[b], cuts[b + 1])) for b in range(1 << bits) if cuts[b + 1] > cuts[b]]
 
 
-def _requests(part, m, bits):
-    """Each block's distinct m-grams with their counts in its learning texts (0 for others), and whether a text that isn't learnt from has them."""
+def _requests(part, m, bits, contexts):
+    """Each block's distinct m-grams with their counts in its learning texts (0 for others), and, if they are contexts of others, whether a text that isn't learnt from has them."""
     for batch in part:
         for row in range(batch.num_rows):
             block = batch["block"][row].as_py()
@@ -160,7 +162,7 @@ def _requests(part, m, bits):
             learnt = learns[seq.doc[at]]
             times = np.bincount(inverse, learnt, len(keys)).astype(np.uint32)
             asks = np.bincount(inverse, ~learnt, len(keys)) > 0
-            rows = [(m, b, block, pack_sorted(keys[s]), pack(times[s]), np.packbits(asks[s]).tobytes()) for b, s in _bucket_slices(keys, bits)]
+            rows = [(m, b, block, pack_sorted(keys[s]), pack(times[s]), np.packbits(asks[s]).tobytes() if contexts else b"") for b, s in _bucket_slices(keys, bits)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["m", "bucket", "block", "grams", "times", "asks"])
         pa.default_memory_pool().release_unused()
@@ -191,7 +193,7 @@ def _count(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
             "grams": pa.array([pack_sorted(keys[seen])] + [None] * n, pa.binary()),
             "times": pa.array([pack(total[seen])] + [pack(total[inverse[s]]) for s in parts], pa.binary()),
             "own": pa.array([None] + [np.packbits(own[s]).tobytes() for s in parts], pa.binary()),
-            "asked": pa.array([None] + [np.packbits(asked[inverse[s]]).tobytes() for s in parts], pa.binary()),
+            "asked": pa.array([None] + [np.packbits(asked[inverse[s]]).tobytes() if asked.any() else b"" for s in parts], pa.binary()),
             "stats": pa.array([stats] + [None] * n, pa.list_(pa.int64())),
         }
     )
@@ -296,7 +298,7 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 3, id_col: st
     one task; their number follows from the words of all texts (BUCKET_GRAMS) and is at least twice
     spark.sql.shuffle.partitions. The tables of n-grams (kind
     `table`) and of backoff weights are written in partitions; nothing of them passes the driver
-    but CUTOFF + 3 sums for each order. Backoff weights are exactly normalised: the mass not taken
+    but CUTOFF + 3 sums for each order. Blocks are scored in SHARES turns. Backoff weights are exactly normalised: the mass not taken
     by a context's discounted n-grams over the lower-order mass of the words not seen after it.
 
     A null text is empty: one token. Where `learns` is null a text is not learnt from; held_out is
@@ -310,7 +312,7 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 3, id_col: st
     bits = max(6, math.ceil(math.log2(buckets)))
 
     def counts(m: int) -> DataFrame:
-        asked = blocks.mapInArrow(lambda part: _requests(part, m, bits), REQUEST)
+        asked = blocks.mapInArrow(lambda part: _requests(part, m, bits, m < order), REQUEST)
         return materialize_clean(asked.groupBy("m", "bucket").applyInArrow(_count, COUNTED), "lz4")
 
     counted = reduce(DataFrame.unionByName, [counts(m) for m in range(1, order + 1)])
@@ -324,7 +326,12 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 3, id_col: st
         return _score_block(left, right, order, discounts, n_all, v_all)
 
     replies = counted.where("kind = 'reply'").select("block", "m", "bucket", "times", "own", "asked")
-    scored = materialize_clean(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, SCORED))
+
+    def scores(i: int) -> DataFrame:
+        mine = F.pmod(F.hash("block"), F.lit(SHARES)) == i
+        return materialize_clean(blocks.where(mine).groupBy("block").cogroup(replies.where(mine).groupBy("block")).applyInArrow(score, SCORED))
+
+    scored = reduce(DataFrame.unionByName, [scores(i) for i in range(SHARES)])
     contexts = scored.where("kind = 'context'").select("m", "context", "taken", "lower", "total")
     sums = contexts.where("total > 1").groupBy("m", "context").agg(F.sum("taken").alias("taken"), F.sum("lower").alias("lower"), F.max("total").alias("total"))
     sums = sums.unionByName(contexts.where("total = 1"))  # seen once, so one block owns all that follows it
