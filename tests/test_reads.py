@@ -16,6 +16,7 @@ from assayloom.functions.order import natural_key
 from assayloom.functions.sequences import CODONS, align_windows, find_motif, scan_landmark, translate
 from assayloom.queries import ORACLE_SQL, QUERIES
 from assayloom.source_queries import QUERIES as SOURCE_QUERIES
+from assayloom.verdict_queries import QUERIES as VERDICT_QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -105,7 +106,7 @@ sys.meta_path.insert(0, Hidden())
 import __spark_entry__ as e
 print(sum(q.startswith("op") or q == "pipeline" for q in e.queries()), len(e.queries()))
 """
-    assert [int(x) for x in _fresh(hide)[-2:]] == [0, len(QUERIES) + len(SOURCE_QUERIES)]
+    assert [int(x) for x in _fresh(hide)[-2:]] == [0, len(QUERIES) + len(SOURCE_QUERIES) + len(VERDICT_QUERIES)]
 
 
 def test_entry_does_not_hide_what_the_rest_lacks():
