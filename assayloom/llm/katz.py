@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, bounded_batches, chain, materialize, materialize_clean, mix, string_hashes
+from .common import Words, batches, bounded_batches, chain, discard, materialize, materialize_clean, mix, string_hashes
 
 #: The hash of the sign that begins and ends a text; it is no word's.
 END = np.uint64(0xA0761D6478BD642F)
@@ -137,11 +137,12 @@ def _block_texts(texts: pa.Table | pa.RecordBatch, row: int = 0):
 
 
 REQUEST = "m int, bucket int, block long, grams binary, times binary, asks binary"
-COUNTED = "kind string, m int, bucket int, block long, grams binary, times binary, own binary, asked binary, stats array<long>"
+COUNTED = "kind string, m int, bucket int, block long, times binary, own binary, asked binary, stats array<long>"
 SCORED = (
     "kind string, block long, row int, id long, held_out boolean, n_tokens long, n_known long, base_score double, part_score double,"
-    " m int, context long, times long, taken double, lower double, total long"
+    " m int, context long, times long, bucket int, contexts binary, taken binary, lower binary, total binary"
 )
+WEIGHT = "m int, context long, weight double"
 
 
 def _bucket_slices(keys: np.ndarray, bits: int):
@@ -169,7 +170,7 @@ def _requests(part, m, bits, contexts):
 
 
 def _count(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
-    """One bucket of one order: total counts as a table row, and for each block the totals of what it asked for."""
+    """One bucket of one order: sums over its total counts as a row `stats`, and for each block the totals of what it asked for."""
     m, bucket = key[0].as_py(), key[1].as_py()
     blocks = got["block"].to_pylist()
     grams = [unpack_sorted(x) for x in got["grams"].to_pylist()]
@@ -186,12 +187,11 @@ def _count(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
     n = len(parts)
     return pa.table(
         {
-            "kind": pa.array(["table"] + ["reply"] * n),
+            "kind": pa.array(["stats"] + ["reply"] * n),
             "m": pa.array([m] * (n + 1), pa.int32()),
             "bucket": pa.array([bucket] * (n + 1), pa.int32()),
             "block": pa.array([None, *blocks], pa.int64()),
-            "grams": pa.array([pack_sorted(keys[seen])] + [None] * n, pa.binary()),
-            "times": pa.array([pack(total[seen])] + [pack(total[inverse[s]]) for s in parts], pa.binary()),
+            "times": pa.array([None] + [pack(total[inverse[s]]) for s in parts], pa.binary()),
             "own": pa.array([None] + [np.packbits(own[s]).tobytes() for s in parts], pa.binary()),
             "asked": pa.array([None] + [np.packbits(asked[inverse[s]]).tobytes() if asked.any() else b"" for s in parts], pa.binary()),
             "stats": pa.array([stats] + [None] * n, pa.list_(pa.int64())),
@@ -199,12 +199,13 @@ def _count(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
     )
 
 
-def _score_block(texts: pa.Table, replies: pa.Table, order: int, discounts: list[np.ndarray], n_all: int, v_all: int) -> pa.Table:
+def _score_block(texts: pa.Table, replies: pa.Table, order: int, bits: int, discounts: list[np.ndarray], n_all: int, v_all: int) -> pa.Table:
     """Scores of one block's texts from the totals of its n-grams, and its share of the context sums.
 
     A text's part_score has all but the backoff weights. Rows of kind `back` name the contexts whose
     weights it still needs; rows of kind `context` sum, over the n-grams that this block owns, the
-    discounted counts and the lower-order probabilities, each n-gram once in the whole corpus. Contexts
+    discounted counts and the lower-order probabilities, each n-gram once in the whole corpus, packed
+    by bucket like the requests. Contexts
     that no text outside the learnt ones has are left out: a learnt text has no unseen n-gram, so
     nobody backs off from them.
     """
@@ -273,17 +274,30 @@ def _score_block(texts: pa.Table, replies: pa.Table, order: int, discounts: list
         contexts, inverse = np.unique(grams[m - 2][at - 1], return_inverse=True)
         one = np.zeros(len(contexts), np.int64)
         one[inverse] = count[m - 2][at - 1]
+        taken, lower = (np.bincount(inverse, x, len(contexts)) for x in (discounted(count[m - 1][at], discounts[m - 1]), p[m - 2][at]))
+        cut = _bucket_slices(contexts, bits)
         tables.append(
             {
-                "kind": ["context"] * len(contexts), "m": np.full(len(contexts), m), "context": contexts.view(np.int64),
-                "taken": np.bincount(inverse, discounted(count[m - 1][at], discounts[m - 1]), len(contexts)),
-                "lower": np.bincount(inverse, p[m - 2][at], len(contexts)), "total": one,
+                "kind": ["context"] * len(cut), "m": np.full(len(cut), m), "bucket": [b for b, _ in cut], "contexts": [pack_sorted(contexts[s]) for _, s in cut],
+                "taken": [pack(taken[s]) for _, s in cut], "lower": [pack(lower[s]) for _, s in cut], "total": [pack(one[s]) for _, s in cut],
             }
         )
-    types = {"kind": pa.string(), "block": pa.int64(), "row": pa.int32(), "id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "part_score": pa.float64(), "m": pa.int32(), "context": pa.int64(), "times": pa.int64(), "taken": pa.float64(), "lower": pa.float64(), "total": pa.int64()}
+    types = {"kind": pa.string(), "block": pa.int64(), "row": pa.int32(), "id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "part_score": pa.float64(), "m": pa.int32(), "context": pa.int64(), "times": pa.int64(), "bucket": pa.int32(), "contexts": pa.binary(), "taken": pa.binary(), "lower": pa.binary(), "total": pa.binary()}
     return pa.concat_tables([pa.table({c: pa.array([block] * len(t["kind"]), k) if c == "block" else pa.array(t[c], k) if c in t else pa.nulls(len(t["kind"]), k) for c, k in types.items()}) for t in tables])
 
 
+def _weigh(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
+    """The backoff weights of one bucket's contexts of one order, from the sums that the blocks made."""
+    contexts = np.concatenate([unpack_sorted(x) for x in got["contexts"].to_pylist()])
+    keys, inverse = np.unique(contexts, return_inverse=True)
+    some = lambda c, kind: np.concatenate([unpack(x, kind) for x in got[c].to_pylist()])
+    taken, lower = (np.bincount(inverse, some(c, np.float64), len(keys)) for c in ("taken", "lower"))
+    total = np.zeros(len(keys), np.int64)
+    total[inverse] = some("total", np.int64)
+    weight = np.maximum(1 - taken / total, 1e-15) / np.maximum(1 - lower, 1e-15)
+    return pa.table({"m": pa.array(np.full(len(keys), key[0].as_py()), pa.int32()), "context": pa.array(keys.view(np.int64)), "weight": pa.array(weight)})
+
+
 def katz_scores(documents: DataFrame, learns: Column, order: int = 3, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every text, learning from all texts where `learns` holds.
 
@@ -296,9 +310,10 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 3, id_col: st
     gets totals back in the order it asked, so what moves is a few bytes for each distinct n-gram
     of a block. Buckets are ranges of a 64-bit hash, so frequent words and contexts never meet in
     one task; their number follows from the words of all texts (BUCKET_GRAMS) and is at least twice
-    spark.sql.shuffle.partitions. The tables of n-grams (kind
-    `table`) and of backoff weights are written in partitions; nothing of them passes the driver
-    but CUTOFF + 3 sums for each order. Blocks are scored in SHARES turns. Backoff weights are exactly normalised: the mass not taken
+    spark.sql.shuffle.partitions. Totals and backoff weights are written in partitions; nothing of
+    them passes the driver but CUTOFF + 3 sums for each order. Blocks are scored in SHARES turns;
+    then blocks and totals are deleted, as nothing else reads them. The sums of contexts travel packed
+    to buckets too. Backoff weights are exactly normalised: the mass not taken
     by a context's discounted n-grams over the lower-order mass of the words not seen after it.
 
     A null text is empty: one token. Where `learns` is null a text is not learnt from; held_out is
@@ -316,14 +331,14 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 3, id_col: st
         return materialize_clean(asked.groupBy("m", "bucket").applyInArrow(_count, COUNTED), "lz4")
 
     counted = reduce(DataFrame.unionByName, [counts(m) for m in range(1, order + 1)])
-    stats = counted.where("kind = 'table'").select("m", F.posexplode("stats").alias("k", "x")).groupBy("m", "k").agg(F.sum("x").alias("x")).collect()  # CUTOFF + 3 numbers an order
+    stats = counted.where("kind = 'stats'").select("m", F.posexplode("stats").alias("k", "x")).groupBy("m", "k").agg(F.sum("x").alias("x")).collect()  # CUTOFF + 3 numbers an order
     by = {(r.m, r.k): r.x for r in stats}
     lines = [[by.get((m, k), 0) for k in range(CUTOFF + 3)] for m in range(1, order + 1)]
     discounts = [good_turing(x[: CUTOFF + 1]) for x in lines] + [np.array(lines[0][: CUTOFF + 1])]
     n_all, v_all = lines[0][CUTOFF + 1], lines[0][CUTOFF + 2]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _score_block(left, right, order, discounts, n_all, v_all)
+        return _score_block(left, right, order, bits, discounts, n_all, v_all)
 
     replies = counted.where("kind = 'reply'").select("block", "m", "bucket", "times", "own", "asked")
 
@@ -332,11 +347,10 @@ def katz_scores(documents: DataFrame, learns: Column, order: int = 3, id_col: st
         return materialize_clean(blocks.where(mine).groupBy("block").cogroup(replies.where(mine).groupBy("block")).applyInArrow(score, SCORED))
 
     scored = reduce(DataFrame.unionByName, [scores(i) for i in range(SHARES)])
-    contexts = scored.where("kind = 'context'").select("m", "context", "taken", "lower", "total")
-    sums = contexts.where("total > 1").groupBy("m", "context").agg(F.sum("taken").alias("taken"), F.sum("lower").alias("lower"), F.max("total").alias("total"))
-    sums = sums.unionByName(contexts.where("total = 1"))  # seen once, so one block owns all that follows it
-    left = F.greatest(1 - F.col("taken") / F.col("total"), F.lit(1e-15))
-    weights = materialize_clean(sums.select("m", "context", (left / F.greatest(1 - F.col("lower"), F.lit(1e-15))).alias("weight")))
+    discard(blocks)
+    discard(counted)
+    sums = scored.where("kind = 'context'").select("m", "bucket", "contexts", "taken", "lower", "total")
+    weights = materialize_clean(sums.groupBy("m", "bucket").applyInArrow(_weigh, WEIGHT))
     back = scored.where("kind = 'back'").select("block", "row", "m", "context", "times").join(weights, ["m", "context"], "left")
     known = F.when(F.col("weight").isNull(), F.raise_error(F.lit("a context has no backoff weight")).cast("double")).otherwise(F.log10("weight"))
     back = back.groupBy("block", "row").agg(F.sum(F.col("times") * known).alias("backed"))
