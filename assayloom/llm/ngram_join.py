@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +13,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, bounded_batches, chain, materialize, mix
+from .common import Words, batches, bounded_batches, chain, clean_shuffles, materialize, mix
 from .components import connected_components
 
 PAD = np.uint64(0x5851F42D4C957F2D)
 SEGMENTS, ADDERS = 64, 24
+#: Words of 64 bits in the parities of a set.
+PARITY_WORDS = 8
 
 
 def shingle_sets(texts: pa.Array, words_each: int) -> list[np.ndarray]:
@@ -37,6 +41,16 @@ def shingle_sets(texts: pa.Array, words_each: int) -> list[np.ndarray]:
     return out
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether a set has an odd number of shingles in each of 64 * PARITY_WORDS hash buckets, as bits.
+
+    Those of two sets differ in at most as many bits as there are shingles in one set alone.
+    """
+    bits = 64 * PARITY_WORDS
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker waits for later stages beside others that work."""
     pa.default_memory_pool().release_unused()
@@ -106,7 +120,7 @@ def _add_counts(total: np.ndarray, packed: bytes) -> None:
 
 
 def _signatures(texts: DataFrame, sketch, words_each: int, percent: int, bits: int, rest: bool = False, members=None) -> DataFrame:
-    """(id, n, digest, grp, prefix): size and digest of each set, and its rarest shingles, as many as the prefix filter needs.
+    """(id, n, digest, grp, parity, prefix): size, digest and parities of each set, and its rarest shingles, as many as the prefix filter needs.
 
     grp is the digest of the prefix. With `rest`, the other shingles stand in the place of the prefix, as column rest.
     With `members`, a broadcast Bloom filter, texts of other ids are left out.
@@ -115,9 +129,10 @@ def _signatures(texts: DataFrame, sketch, words_each: int, percent: int, bits: i
     def sign(part):
         rank = sketch.value
         for piece, sets in _sets_of(part if members is None else (_among(batch, members.value) for batch in part), words_each):
-            n, digest, grp, shown = [], [], [], []
+            n, digest, grp, parity, shown = [], [], [], [], []
             for x in sets:
                 n.append(len(x))
+                parity.append(parities(x))
                 digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                 most = len(x) - (percent * len(x) + 99) // 100 + 1 if len(x) else 0
                 key = rank[(x >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(44) | x >> np.uint64(20)
@@ -126,11 +141,14 @@ def _signatures(texts: DataFrame, sketch, words_each: int, percent: int, bits: i
                 grp.append(hashlib.blake2b(prefix.tobytes(), digest_size=16).digest())
                 shown.append(x[order[most:]].view(np.int64) if rest else prefix)
             yield pa.RecordBatch.from_pydict(
-                {"id": piece["id"], "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "grp": pa.array(grp, pa.binary()), name: pa.array(shown, pa.list_(pa.int64()))}
+                {
+                    "id": piece["id"], "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "grp": pa.array(grp, pa.binary()),
+                    "parity": pa.array(parity, pa.list_(pa.int64())), name: pa.array(shown, pa.list_(pa.int64())),
+                }
             )
 
     name = "rest" if rest else "prefix"
-    return texts.mapInArrow(sign, f"id long, n long, digest binary, grp binary, {name} array<long>")
+    return texts.mapInArrow(sign, f"id long, n long, digest binary, grp binary, parity array<long>, {name} array<long>")
 
 
 def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -179,7 +197,7 @@ def pairs_within_groups(members: DataFrame, texts: DataFrame, sketch, words_each
     """
     bloom = texts.sparkSession.sparkContext.broadcast(bloom_filter(members.select("id").distinct()))
 
-    some = _signatures(texts, sketch, words_each, percent, bits, rest=True, members=bloom)
+    some = _signatures(texts, sketch, words_each, percent, bits, rest=True, members=bloom).drop("parity")
     some = some.join(members, ["id", "n", "digest", "grp"]).dropDuplicates(["id", "n", "digest"])
     key = ["n", "grp", "token"]
     tokens = materialize(some.select("id", "n", "digest", "grp", "component", F.size("rest").alias("others"), F.explode("rest").alias("token")))
@@ -192,11 +210,25 @@ def pairs_within_groups(members: DataFrame, texts: DataFrame, sketch, words_each
     return u.join(v, F.expr("u.n = v.n and u.grp = v.grp and u.token = v.token and u.component != v.component and u.id < v.id")).select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))
 
 
-def verified_links(pairs: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
+def possible_links(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parities don't rule the similarity out; none that reaches it is lost.
+
+    Linked sets of n and m shingles differ by (n + m) * (100 - percent) / (100 + percent) at most,
+    and their parities by no more.
+    """
+    side = lambda i, n, x: signed.where("n > 0").select(F.col("id").alias(i), F.col("n").alias(n), F.col("parity").alias(x))
+    both = pairs.select("a", "b").join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+    apart = reduce(add, [F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(PARITY_WORDS)])
+    return both.where(apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)).select("a", "b").distinct()
+
+
+def verified_links(pairs: DataFrame, signed: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose exact sets reach the similarity, from the texts of these ids alone.
 
-    A Bloom filter of fixed size keeps other texts from being shuffled; texts travel compressed.
+    Parities sort out most others before any text moves. A Bloom filter of fixed size keeps other
+    texts from being shuffled; texts travel compressed.
     """
+    pairs = materialize(possible_links(pairs, signed, percent))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bloom = texts.sparkSession.sparkContext.broadcast(bloom_filter(ids))
 
@@ -249,8 +281,17 @@ def jaccard_components(
 
     Null and empty texts have 0 shingles and link with nothing. A null id has a null component.
     Rows that share an id are one node of the graph. Shingles are compared by 64-bit hashes.
+    Shuffle files of a step are deleted when it has ended.
     """
     texts = bounded_batches(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    with clean_shuffles(texts.sparkSession):
+        signed, components = _signed_components(texts, words_each, percent, sketch_bits)
+    out = signed.select("id", "n").join(components.withColumnRenamed("node", "id"), "id", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def _signed_components(texts: DataFrame, words_each: int, percent: int, sketch_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all texts (id, text), and the components (node, component) of linked ones."""
     sketch = texts.sparkSession.sparkContext.broadcast(shingle_sketch(texts, words_each, sketch_bits))
     signed = materialize(_signatures(texts, sketch, words_each, percent, sketch_bits))
     slim = signed.where("n > 0 and id is not null").select("id", "n", "digest", "grp")
@@ -281,7 +322,7 @@ def jaccard_components(
     near = postings.join(first.unionByName(first.withColumn("band", F.col("band") + 1)), ["token", "band"])
     near = near.where(f"hub != other and 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"))
     pairs = materialize(classes.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).union(near).distinct())
-    links = materialize(verified_links(pairs, texts, words_each, percent))
+    links = materialize(verified_links(pairs, signed, texts, words_each, percent))
     components = connected_components(links.union(copies))
 
     # what the hubs left open: shingles with classes of different components, their groups expanded
@@ -304,7 +345,7 @@ def jaccard_components(
         open_pairs = open_pairs.union(pairs_within_groups(within, texts, sketch, words_each, percent, sketch_bits))
     open_pairs = materialize(open_pairs.distinct().join(pairs, ["a", "b"], "left_anti"))
     if not open_pairs.isEmpty():
-        more = verified_links(open_pairs, texts, words_each, percent)
+        more = verified_links(open_pairs, signed, texts, words_each, percent)
         at = member.select("id", "component")
         between = more.join(at.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(at.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
         joined = connected_components(between.select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -312,5 +353,4 @@ def jaccard_components(
         merged = components.join(joined.select(F.col("node").alias("component"), F.col("component").alias("target")), "component", "left")
         merged = merged.select("node", F.coalesce("target", "component").alias("component"))
         components = merged.unionByName(alone.join(components, "node", "left_anti"))
-    out = signed.select("id", "n").join(components.withColumnRenamed("node", "id"), "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return signed, components
