@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_batches, mix, scratch_dir
+from .common import batches, bounded_batches, mix, objects, scratch_dir
 from .encoding import encoder
 
 WINDOW = 16
@@ -158,7 +158,7 @@ def write_token_store(documents: DataFrame, path: str, tokenizer_path: str, end_
         seen = set()
         for batch in part:
             keep = []
-            for k, name in zip(batch["kind"].to_pylist(), batch["digest"].to_pylist(), strict=True):
+            for k, name in zip(objects(batch["kind"]), objects(batch["digest"]), strict=True):
                 keep.append(k == "recipe" or name not in seen)
                 if k == "chunk":
                     seen.add(name)
@@ -223,9 +223,9 @@ def read_token_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def check(part):
         for batch in part:
-            names, crc, n = batch["digest"].to_pylist(), [], []
+            names, crc, n = objects(batch["digest"]), [], []
             width = batch["width"].to_numpy()
-            for name, data, w in zip(names, batch["ids"].to_pylist(), width, strict=True):
+            for name, data, w in zip(names, objects(batch["ids"]), width, strict=True):
                 if digest(data) != name:
                     raise ValueError(f"chunk {name.hex()} does not match its digest")
                 ids = np.frombuffer(data, f"<u{w}").astype("<u4")
@@ -237,14 +237,15 @@ def read_token_digests(spark: SparkSession, path: str) -> DataFrame:
         for batch in part:
             if not batch.num_rows:
                 continue
-            for names, root in zip(batch["digests"].to_pylist(), batch["root"].to_pylist(), strict=True):
-                if merkle_root(names) != root:
-                    raise ValueError("a recipe does not match its root")
             each = batch["digests"].value_lengths().to_numpy()
+            names, last = objects(batch["digests"].flatten()), np.cumsum(each)
+            for end, size, root in zip(last.tolist(), each.tolist(), objects(batch["root"]), strict=True):
+                if merkle_root(names[end - size : end]) != root:
+                    raise ValueError("a recipe does not match its root")
             n = batch["lengths"].flatten().to_numpy().astype(np.int64)
             doc = np.repeat(np.arange(len(each)), each)
             ends = np.cumsum(n)
-            last = np.concatenate([[0], ends])[np.cumsum(each)]
+            last = np.concatenate([[0], ends])[last]
             cols = {c: batch[c].take(pa.array(doc)) for c in ("part", "row")}
             yield pa.RecordBatch.from_pydict(cols | {"digest": batch["digests"].flatten(), "length": pa.array(n.astype(np.int32)), "after": pa.array(4 * (last[doc] - ends))})
 
