@@ -48,6 +48,11 @@ def test_kept_words_are_bounded(enc, monkeypatch, most):
         assert ids_of(enc, TEXTS) == library(enc, TEXTS) and len(enc.kept) == most
 
 
+def test_long_words_are_not_kept(enc):
+    texts = ["a" * 32 + " " + "acgt" * 50_000, "ß" * 33 + ", " + "acgt" * 50_000]
+    assert ids_of(enc, texts) == library(enc, texts) and list(enc.kept) == ["a" * 32]
+
+
 def test_sharp_s_in_every_place(enc):
     texts = [" ".join(a + "ß" + b + c for a in ("", "a", "ö", "ßß") for b in ("", "s", "é", "ß") for c in ("", ".", ",!", "|", "-", "'s", "̈"))]
     assert ids_of(enc, texts) == library(enc, texts)
